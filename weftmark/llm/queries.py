@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from weftmark.llm.packing import fill_containers
 from weftmark.llm.splitting import split_oversized
+from weftmark.llm.tokens import encode_texts
 from weftmark.session import table
 
 _CURRENT = """SELECT file_path, heading, chunk_index, content FROM sections
@@ -35,11 +36,16 @@ def p3_found(spark: SparkSession, base: str) -> DataFrame:
     return pieces.where(F.col("piece") == 0).select("file_path", "heading", "chunk_index")
 
 
+def p6_ids(spark: SparkSession, base: str) -> DataFrame:
+    return encode_texts(table(spark, base, "documents"))
+
+
 QUERIES = {
     "p1_containers": p1_containers,
     "p1_keys": p1_keys,
     "p3_found": p3_found,
     "p3_pieces": p3_pieces,
+    "p6_ids": p6_ids,
 }
 
 ORACLE = {
