@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from weftmark.llm.leakage import find_leaks
 from weftmark.llm.packing import fill_containers
 from weftmark.llm.splitting import split_oversized
 from weftmark.llm.tokens import encode_texts
@@ -40,12 +41,17 @@ def p6_ids(spark: SparkSession, base: str) -> DataFrame:
     return encode_texts(table(spark, base, "documents"))
 
 
+def p7_found(spark: SparkSession, base: str) -> DataFrame:
+    return find_leaks(table(spark, base, "documents"), table(spark, base, "benchmark")).select("doc_id", "item_id")
+
+
 QUERIES = {
     "p1_containers": p1_containers,
     "p1_keys": p1_keys,
     "p3_found": p3_found,
     "p3_pieces": p3_pieces,
     "p6_ids": p6_ids,
+    "p7_found": p7_found,
 }
 
 ORACLE = {
