@@ -23,6 +23,9 @@ _IDENT = re.compile(r"`[^`\n]*`|https?://\S+")
 _CJK = re.compile(r"[぀-ヿ㐀-鿿]")
 _END = re.compile(r"[.;:。\]]+[\"'”’)]*$|[!?]+[\"'”’)]*$")
 
+#: Documents of this score or more contain abusive, hateful or sexual language.
+THRESHOLD = 0.5
+
 
 def squeeze(word: str) -> str:
     """Runs of one letter count once, in words and lexicon alike, so stretched spellings match."""
@@ -36,7 +39,7 @@ def plain(word: str) -> str:
         latin = sum("a" <= c.lower() <= "z" for c in word)
         if latin or all(c in lexicon.CONFUSABLE or not c.isalpha() for c in word):
             word = "".join(lexicon.CONFUSABLE.get(c, c) for c in word)
-        word = "".join(c for c in word if unicodedata.category(c) != "Cf")
+        word = "".join(c for c in unicodedata.normalize("NFKD", word) if unicodedata.category(c) not in ("Cf", "Mn"))
     return word.lower()
 
 
@@ -66,7 +69,7 @@ class Grammar:
             head, _, words = line.partition(": ")
             name, weight = head.split()
             b = self.bit.setdefault(name, 1 << len(self.bit))
-            for w in words.split():
+            for w in plain(words).split():
                 parts = w.split("_")
                 if len(parts) > 1:
                     parts = [squeeze(x) for x in parts if x]
@@ -214,7 +217,8 @@ class Grammar:
                     if s > best:
                         best = s
         if best:
-            if every & self.bit["report"]:
+            first = next(i for i, b in enumerate(bits) if b & self.strong)
+            if any(b & self.bit["report"] for b in bits[: first + 1]):
                 best *= 0.4
             if every & self.bit["thing"] and not every & (self.bit["you"] | self.bit["people"] | self.bit["group"] | self.bit["i"]):
                 best *= 0.5
@@ -262,12 +266,10 @@ class Grammar:
         best, strong = 0.0, self.strong
         if "`" in text or "://" in text:
             text = _IDENT.sub("", text)
-        before: list[tuple[dict[int, float], int]] = []
         for clause in self._clauses(text):
             words = self._phrased(clause)
             if any(b & strong for _, b in words):
                 best = max(best, self.clause_score(words))
-            before = words
             if best >= 1:
                 return best
         if not text.isascii() and _CJK.search(text):
@@ -283,3 +285,31 @@ def grammar() -> Grammar:
     if _grammar is None:
         _grammar = Grammar()
     return _grammar
+
+
+def score_abuse(documents: DataFrame, id: str = "doc_id", text: str = "text", keep: tuple[str, ...] = ("source",)) -> DataFrame:
+    """(id, *keep, score): for every document the score of its most abusive clause, 0 to 1.
+
+    Null, empty and blank texts score 0. Every row gives one row, whatever its other columns hold; repeated
+    ids and texts are scored each. An empty table gives an empty result. Whole texts are read, clause by
+    clause, in one pass without a shuffle; a worker remembers the classes of words it met, up to a bound that
+    changes no result.
+    """
+    kinds = {f.name: f.dataType.simpleString() for f in documents.schema.fields}
+    columns = list(dict.fromkeys([id, *keep]))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        score = grammar().score
+        for pdf in batches:
+            out = pdf[columns].copy()
+            out["score"] = [score(t) for t in pdf["_text"]]
+            yield out
+
+    schema = ", ".join(f"`{c}` {kinds[c]}" for c in columns) + ", score double"
+    return documents.select(*columns, F.col(text).alias("_text")).mapInPandas(run, schema)
+
+
+def abuse_rates(scored: DataFrame, source: str = "source", threshold: float = THRESHOLD) -> DataFrame:
+    """Per source the documents, those that contain abuse, and their rate. A null source is one of the sources."""
+    hit = F.sum((F.col("score") >= threshold).cast("bigint"))
+    return scored.groupBy(source).agg(F.count("*").alias("documents"), hit.alias("abusive"), (hit / F.count("*")).alias("rate"))

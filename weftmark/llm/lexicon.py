@@ -8,6 +8,7 @@ and `_` joins the words of a phrase. Patterns are sequences of classes (alternat
 # Word classes in English, Spanish, German, French, Italian and Portuguese.
 CLASSES = """
 you 1: you your yours yourself u ur youre you're du dich dir dein deine deinem deinen deiner deines euch ihr eure tu tú te ti contigo tus eres usted vos os sos toi vous votre ton voi você teu
+youare 1: you're youre u're eres sois estás bist seid t'es
 be 1: are is were be was re bist ist seid sind eres es son sois estás está tes êtes sei siete é são
 i 1: i i'm im i'll ill we we'll ich wir yo nosotros je somebody someone
 will 1: will would gonna going wanna shall swear i'll ill werde werden voy vamos juro schwöre sonst vais otherwise
@@ -18,7 +19,7 @@ beastly 0.7: pig pigs worm worms leech* parasite* filth scum garbage trash maggo
 slur 0.9: vermin subhuman* cockroach* rats rat savages savage animals trash scum parasites disease plague pest filth beasts vermin* maggots pigs dogs apes monkeys criminals ungeziefer gesindel abschaum viehzeug pack ratten parasiten untermenschen schädlinge seuche tiere ratas plaga plagas alimañas bestias cucarachas escoria basura animales parásitos salvajes infrahumanos sabandijas vermine parassiti
 mean 0.6: stupid brainless useless worthless pathetic spineless gutless miserable repulsive disgusting rotten braindead dumb filthy lousy dimwitted incompetent hideous ugly clueless fucking bloody nasty vile vicious loathsome widerlich* hirnlos* erbärmlich* dreckig* dumm* nutzlos* hässlich* ekelhaft* armselig* verdammt* repugnante* asqueros* patétic* despreciable* miserable* podrid* mierda estúpid* inútil* ridícul* stupide* minable* stupido* inutile*
 curse 0.8: fuck fucking fck screw damn_you go_to_hell vete_al_infierno vete_a_la_mierda que_te_jodan jódete chinga* verpiss* fick* leck_mich va_te_faire vaffanculo foda-se piss_off
-gone 0.8: get_lost drop_dead go_drown go_die kill_yourself jump_off* jump_off_a choke_on rot_in crawl_back hang_yourself go_hang burn_in_hell die_in shut_up shut_your kys go_to_hell lárgate piérdete muérete púdrete ojalá_te muere cállate verreck* stirb krepier* verschwinde halt_dein* halt_die halt_endlich geh_sterben hau_ab zieh_leine crève_ muori
+gone 0.8: get_lost drop_dead go_drown go_die kill_yourself delete_yourself eat_dirt eat_shit jump_off* jump_off_a choke_on rot_in crawl_back hang_yourself go_hang burn_in_hell die_in shut_up shut_your kys go_to_hell lárgate piérdete muérete púdrete ojalá_te muere cállate verreck* stirb krepier* verschwinde halt_dein* halt_die halt_endlich geh_sterben hau_ab zieh_leine crève_ muori
 wish 1: drown die dead suffer rot bleed vanish disappear existing breathe perish mueras muerte sterben stirbst krepierst desaparecieras desaparecer
 harm 1: hurt smash kill burn stab break beat strangle murder punch choke shoot slit crush cut gut destroy bury hunt bleed suffer rip find_you find_out_where wait_for_you slap rape umbringen töten schlagen schlage breche brechen abstechen verbrennen verprügeln warte_auf_dich warte erwürge ersteche zünde finde_dich mato matar matarte rompo romper quemo quemar apuñal* espero golpe* reviento parto tuer frapper
 body 1: teeth tooth house home family face neck throat bones bone legs fingers finger hand hands head skull kids children wife mother car eyes arm arms blood bleed knees ribs life zähne haus familie gesicht hals knochen beine kopf kinder blut blutig finger hände leben dientes casa familia cara cuello huesos piernas dedos cabeza hijos sangre manos vida
@@ -28,7 +29,7 @@ people 1: people person persons developer* contributor* account* user* folk* fol
 group 1: immigrant* foreign foreigner* migrant* refugee* female* women elderly old_people gay* lesbian* trans queer* black* white* jew* jewish muslim* christian* arab* asian* african* gypsy gypsies disabled homosexual* ausländer* zuwanderer* flüchtling* migranten frauen juden muslime schwarze behinderte alte extranjer* inmigrante* mujeres negros moros gitanos judíos ancianos viejos homosexuales norteños étrangers arabes juifs immigrés
 they 1: they they're these those them their dieses diese die sie son estos esos estas esas
 expel 0.8: get_rid_of kept_out keep_out send_the* sent_back send_them go_back_to back_where ban_every ban_all kick_out raus fuera wipe_out exterminate deport belongs_in no_belongs rid_the lie_and_steal in_their_blood breed_like cannot_count count_to_three no_os_queremos aquí_no_os no_deben_entrar will_hier_keiner gehören_nicht should_never_let dehors
-sexual 0.9: porn* porno* nude nudes naked topless sex sexvideo* sextape* sex_tapes sexy xxx horny boobs tits breasts dick cock pussy cum blowjob orgasm erotic nsfw webcam dirty_webcam nudity hardcore fetish nackt nacktbild* nacktfoto* sexbild* titten schwanz muschi geil fick* brüste desnud* porno pornográfic* tetas polla coño follar pechos sexo culo cachond* seins nue nues tette
+sexual 0.9: porn* porno* nude nudes naked topless sex sexvideo* sextape* sex_tapes sexy xxx horny boobs tits breasts dick cock pussy cum blowjob orgasm erotic nsfw webcam dirty_webcam nudity hardcore fetish oben_ohne nackt nacktbild* nacktfoto* sexbild* titten schwanz muschi geil fick* brüste desnud* porno pornográfic* tetas polla coño follar pechos sexo culo cachond* seins nue nues tette
 lewd 0.7: lick touch feel kiss grope undress strip fondle spank sleep_with have_sex in_bed bend_over sit_on suck lecken anfassen berühren ausziehen küssen begrapschen lamer tocar tocarte besar manosear desnudar desnúdate acostarme chupar
 offer 1: click free send hot singles tonight share videos pictures pics shots photos shows tapes watch uncensored adults sign_up schick schicke videos bilder fotos gratis kostenlos mándame envíame manda envía vídeos fotos heute_nacht esta_noche
 party 1: she he her his him yourself sie er ihn ihm ella él lei
@@ -45,6 +46,8 @@ path 1: cross_my if_you_touch en_mi_camino in_die_quere touch_this_again keep_ig
 # Patterns. A doubled class must be met twice.
 PATTERNS = """
 address: you ..2 be ..4 insult|beastly = 1
+address-one: youare ..3 insult|beastly = 0.95
+gone-alone: gone ..6 gone = 0.9
 address-mean: you ..1 be ..2 mean ..3 insult|beastly = 1
 vocative: you ..2 mean ..2 insult|beastly = 1
 vocative-bare: you insult = 0.9

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from weftmark.llm.abuse import THRESHOLD, abuse_rates, score_abuse
 from weftmark.llm.leakage import find_leaks
 from weftmark.llm.packing import fill_containers
 from weftmark.llm.splitting import split_oversized
@@ -45,6 +46,18 @@ def p7_found(spark: SparkSession, base: str) -> DataFrame:
     return find_leaks(table(spark, base, "documents"), table(spark, base, "benchmark")).select("doc_id", "item_id")
 
 
+def p8_scores(spark: SparkSession, base: str) -> DataFrame:
+    return score_abuse(table(spark, base, "documents"))
+
+
+def p8_found(spark: SparkSession, base: str) -> DataFrame:
+    return p8_scores(spark, base).where(F.col("score") >= THRESHOLD).select("doc_id")
+
+
+def p8_rates(spark: SparkSession, base: str) -> DataFrame:
+    return abuse_rates(p8_scores(spark, base))
+
+
 QUERIES = {
     "p1_containers": p1_containers,
     "p1_keys": p1_keys,
@@ -52,6 +65,9 @@ QUERIES = {
     "p3_pieces": p3_pieces,
     "p6_ids": p6_ids,
     "p7_found": p7_found,
+    "p8_found": p8_found,
+    "p8_rates": p8_rates,
+    "p8_scores": p8_scores,
 }
 
 ORACLE = {
