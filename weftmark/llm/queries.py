@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftmark.llm.abuse import THRESHOLD, abuse_rates, score_abuse
+from weftmark.llm.handwritten import score_files
 from weftmark.llm.leakage import find_leaks
 from weftmark.llm.packing import fill_containers
 from weftmark.llm.splitting import split_oversized
@@ -38,6 +39,15 @@ def p3_found(spark: SparkSession, base: str) -> DataFrame:
     return pieces.where(F.col("piece") == 0).select("file_path", "heading", "chunk_index")
 
 
+def p4_found(spark: SparkSession, base: str) -> DataFrame:
+    scored, _ = score_files(table(spark, base, "code_elements"))
+    return scored.where(F.col("score") > 0).select("file_path")
+
+
+def p4_scores(spark: SparkSession, base: str) -> DataFrame:
+    return score_files(table(spark, base, "code_elements"))[0]
+
+
 def p6_ids(spark: SparkSession, base: str) -> DataFrame:
     return encode_texts(table(spark, base, "documents"))
 
@@ -63,6 +73,8 @@ QUERIES = {
     "p1_keys": p1_keys,
     "p3_found": p3_found,
     "p3_pieces": p3_pieces,
+    "p4_found": p4_found,
+    "p4_scores": p4_scores,
     "p6_ids": p6_ids,
     "p7_found": p7_found,
     "p8_found": p8_found,
