@@ -68,7 +68,7 @@ class Params:
     walks: int = 6  #: random walks
     tables: int = 6  #: samples of each walk
     sample: int = 5  #: embedded positions in a sample
-    noise: float = 0.2  #: edits per word of a passage, at most
+    noise: float = 0.17  #: edits per word of a passage, at most
     stock: float = 0.04
     span: int = 6  #: words of the shortest aligned span
     seed: int = 20240229
@@ -172,7 +172,7 @@ class Index:
 
     def encode(self, words: list[str]) -> np.ndarray:
         get = self.vocabulary.get
-        return np.fromiter((get(w, UNKNOWN) for w in words), np.int64, len(words))
+        return np.array([get(w, UNKNOWN) for w in words], np.int64)
 
     def windows(self, tokens: np.ndarray) -> np.ndarray:
         """Starts of windows that can be within `edits` edits of an item window.
@@ -194,26 +194,26 @@ class Index:
         ends = np.minimum(starts + p.window - 1, len(hit))
         return starts[total[ends] - total[starts] >= p.window - 1 - 2 * p.edits]
 
-    def candidates(self, tokens: np.ndarray, starts: np.ndarray) -> np.ndarray:
-        """(start, item) of every table hit, once each."""
-        out = []
+    def candidates(self, tokens: np.ndarray, starts: np.ndarray, text_of: np.ndarray, texts: int) -> np.ndarray:
+        """Which items (columns) any table finds for which texts (rows)."""
+        found = np.zeros((texts, len(self.ids)), bool)
         for (keys, owners), mine in zip(self.tables, self.embed(tokens, starts)):
             if not len(keys):
                 continue
             lo, hi = np.searchsorted(keys, mine, "left"), np.searchsorted(keys, mine, "right")
             n = hi - lo
-            if n.any():
-                rows = np.repeat(np.arange(len(mine)), n)
-                inner = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-                out.append(np.unique(rows * len(self.ids) + owners[lo[rows] + inner]))
-        return np.unique(np.concatenate(out)) if out else np.zeros(0, np.int64)
+            rows = np.repeat(np.arange(len(mine)), n)
+            inner = np.arange(len(rows)) - np.repeat(np.cumsum(n) - n, n)
+            found[text_of[rows], owners[lo[rows] + inner]] = True
+        return found
 
     def enough(self, tokens: np.ndarray, items: np.ndarray) -> np.ndarray:
         """Of `items`, those that share enough word pairs with the text to hold a passage.
 
         A passage of the asked share with at most `noise` edits a word keeps the rest of its pairs.
         """
-        pair = np.unique(tokens[:-1] * self.size + tokens[1:])
+        pair = np.sort(tokens[:-1] * self.size + tokens[1:])
+        pair = pair[np.concatenate([[True], pair[1:] != pair[:-1]])]
         lo, hi = np.searchsorted(self.pairs, pair, "left"), np.searchsorted(self.pairs, pair, "right")
         n = hi - lo
         at = np.repeat(lo, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
@@ -253,10 +253,10 @@ class Index:
         while todo:
             again, at = [], 0
             while at < len(todo):
-                end, cells = at + 1, 0
+                end, tall = at + 1, len(mine[todo[at]])
                 while end < len(todo) and end - at < 256:
-                    cells = (end + 1 - at) * (len(texts[todo[end]]) + 1) * (max(len(mine[x]) for x in todo[at : end + 1]) + 1)
-                    if cells > most:
+                    tall = max(tall, len(mine[todo[end]]))
+                    if (end + 1 - at) * (len(texts[todo[end]]) + 1) * (tall + 1) > most:
                         break
                     end += 1
                 part = todo[at:end]
@@ -278,9 +278,8 @@ def local_alignments(a: list[np.ndarray], b: list[np.ndarray], edit: int = 2) ->
     left, right = np.full((len(a), n), MASKED), np.full((len(b), m), UNKNOWN)
     for i, (x, y) in enumerate(zip(a, b)):
         left[i, : len(x)], right[i, : len(y)] = x, y
-    kind = np.int16 if edit * (m + 1) + n < 2**15 else np.int32
+    kind = np.int16 if n < 2**14 else np.int32
     left, right = left.astype(np.int32), right.astype(np.int32)
-    ramp = (np.arange(m + 1) * edit).astype(kind)
     score = np.zeros((n + 1, len(a), m + 1), kind)
     gain, loss = kind(1), kind(-edit)
     for i in range(1, n + 1):
@@ -288,9 +287,11 @@ def local_alignments(a: list[np.ndarray], b: list[np.ndarray], edit: int = 2) ->
         row = np.maximum(up + loss, kind(0))
         np.maximum(row[:, 1:], up[:, :-1] + np.where(right == left[:, i - 1, None], gain, loss), out=row[:, 1:])
         row[left[:, i - 1] <= MASKED] = 0  # a masked word ends every span
-        row += ramp
-        np.maximum.accumulate(row, axis=1, out=row)
-        np.subtract(row, ramp, out=score[i])
+        # up to three words of the text skipped at once; more of them part two spans
+        np.maximum(row[:, 1:], row[:, :-1] + loss, out=score[i, :, 1:])
+        score[i, :, 0] = row[:, 0]
+        np.maximum(score[i, :, 2:], score[i, :, :-2] + 2 * loss, out=row[:, 2:])
+        score[i, :, 2:] = row[:, 2:]
     best = score.transpose(1, 0, 2).reshape(len(a), -1).argmax(1)
     out = []
     for k, at in enumerate(best.tolist()):
@@ -338,14 +339,10 @@ def leaks(texts: list[str | None], ix: Index) -> list[tuple[int, int, float]]:
     flat = np.concatenate([x for tokens, _ in parts for x in (tokens, gap)])
     starts = np.concatenate([s + o for (_, s), o in zip(parts, at)])
     doc_of = np.repeat(np.arange(len(parts)), [len(s) for _, s in parts])
-    found = ix.candidates(flat, starts)
-    rows, items = np.divmod(found, max(1, len(ix.ids)))
-    n = max(1, len(ix.ids))
+    found = ix.candidates(flat, starts, doc_of, len(parts))
     pairs, text_of = [], []
-    both = np.unique(doc_of[rows] * n + items)
-    for group in np.split(both, np.flatnonzero(np.diff(both // n)) + 1) if len(both) else []:
-        doc = int(group[0] // n)
-        for item in ix.enough(parts[doc][0], group % n).tolist():
+    for doc in np.flatnonzero(found.any(1)).tolist():
+        for item in ix.enough(parts[doc][0], np.flatnonzero(found[doc])).tolist():
             pairs.append((parts[doc][0], item))
             text_of.append(owner[doc])
     return [(t, int(ix.ids[k]), s) for t, (_, k), s in zip(text_of, pairs, ix.shares(pairs)) if s >= ix.p.share]
