@@ -219,18 +219,22 @@ def _facts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def file_facts(code_elements: DataFrame) -> DataFrame:
-    """(file_path, body, label, n_repos) of every whole file with code, as it was scanned last.
-
-    `n_repos` counts the repositories that hold a file with the same body. Counts are reduced per (body,
-    repository) first, so a body with a third of all files is no hot group.
-    """
+    """(file_path, body, label) of every whole file with code, as it was scanned last."""
     whole = F.col("id") == F.concat(F.lit("file:"), F.col("file_path"))
     files = code_elements.where(whole & F.col("code").rlike(r"\S"))
     facts = files.select("file_path", "scanned_at", "code").mapInPandas(
         _facts, "file_path string, scanned_at timestamp, body string, label int"
     )
     w = Window.partitionBy("file_path").orderBy(F.col("scanned_at").desc_nulls_last(), F.col("body"))
-    facts = facts.withColumn("_rank", F.row_number().over(w)).where(F.col("_rank") == 1).drop("_rank", "scanned_at")
+    return facts.withColumn("_rank", F.row_number().over(w)).where(F.col("_rank") == 1).drop("_rank", "scanned_at")
+
+
+def with_copies(facts: DataFrame) -> DataFrame:
+    """`facts` with `n_repos`, the repositories that hold a file with the same body.
+
+    Counts are reduced per (body, repository) first, so a body with a third of all files is no hot group; only
+    bodies of several repositories are joined.
+    """
     repo = F.split("file_path", "/")[0]
     shared = (
         facts.select("body", repo.alias("_repo")).distinct().groupBy("body").agg(F.count("*").alias("n_repos")).where(F.col("n_repos") > 1)
@@ -250,8 +254,9 @@ def score_files(code_elements: DataFrame, sample: int = 1500, limit: int = 60_00
     """
     spark = code_elements.sparkSession
     at = f"{shared_dir(spark)}/weftmark/facts-{uuid.uuid4().hex}"
-    file_facts(code_elements).write.parquet(at)
-    facts = spark.read.parquet(at)
+    file_facts(code_elements).write.parquet(f"{at}/files")  # all code is parsed once, whatever is asked of it
+    with_copies(spark.read.parquet(f"{at}/files")).write.parquet(f"{at}/copies")
+    facts = spark.read.parquet(f"{at}/copies")
     slim = code_elements.where(F.length("code") <= limit).select(F.col("id"), "code")
     w = F.xxhash64("file_path")
     chosen = None
