@@ -15,6 +15,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from weftmark.llm.batches import slices
+
 _TAG = re.compile(r"<[/!]?[A-Za-z][^<>]{0,200}>")
 _ESCAPE = re.compile(r"\\u([0-9a-fA-F]{4})|\\[nrt](?![a-z])|%([0-9A-Fa-f]{2})")
 _RUN = re.compile(r"[^\W_]+")
@@ -24,6 +26,9 @@ _STOP = re.compile(r"[.!?:;\n]+(?:\s|$)")
 #: Ids of a token outside the items' vocabulary, of the padding after a window, and of a masked item token.
 UNKNOWN, PAD, MASKED = 0, 1, 2
 
+#: Words of a text aligned at once.
+SEGMENT = 8192
+
 
 def _unescape(m: re.Match) -> str:
     if m[1]:
@@ -249,31 +254,46 @@ class Index:
         texts = [self.near(t, k) for t, k in pairs]
         mine = [self.tokens[k].copy() for _, k in pairs]
         covered, own = np.zeros(len(pairs)), np.maximum(1, self.own[[k for _, k in pairs]])
-        todo = sorted(range(len(pairs)), key=lambda x: len(texts[x]))
+        # a long text is aligned in segments that overlap by more than any span, so none is lost
+        parts = []
+        for x, t in enumerate(texts):
+            step = SEGMENT - 4 * len(mine[x])
+            if len(t) <= SEGMENT or step <= 0:
+                parts.append((x, t))
+            else:
+                parts += [(x, t[i : i + SEGMENT]) for i in range(0, len(t) - 4 * len(mine[x]), step)]
+        parts.sort(key=lambda p: len(p[1]))
+        todo = set(range(len(pairs)))
         while todo:
-            again, at = [], 0
-            while at < len(todo):
-                end, tall = at + 1, len(mine[todo[at]])
-                while end < len(todo) and end - at < 256:
-                    tall = max(tall, len(mine[todo[end]]))
-                    if (end + 1 - at) * (len(texts[todo[end]]) + 1) * (tall + 1) > most:
+            best: dict[int, tuple[int, int, int]] = {}
+            work, at = [p for p in parts if p[0] in todo], 0
+            while at < len(work):
+                end, tall = at + 1, len(mine[work[at][0]])
+                while end < len(work) and end - at < 256:
+                    tall = max(tall, len(mine[work[end][0]]))
+                    if (end + 1 - at) * (len(work[end][1]) + 1) * (tall + 1) > most:
                         break
                     end += 1
-                part = todo[at:end]
+                some = work[at:end]
                 at = end
-                for x, (i0, i1) in zip(part, local_alignments([mine[x] for x in part], [texts[x] for x in part])):
-                    if i1 - i0 >= p.span:
-                        covered[x] += int((mine[x][i0:i1] != MASKED).sum())
-                        mine[x][i0:i1] = MASKED
-                        left = int(np.isin(mine[x][mine[x] != MASKED], texts[x]).sum())
-                        if covered[x] < p.share * own[x] <= covered[x] + 2 * left:
-                            again.append(x)
-            todo = again
+                for (x, _), found in zip(some, local_alignments([mine[x] for x, _ in some], [t for _, t in some])):
+                    best[x] = max(best.get(x, (0, 0, 0)), found)
+            todo = set()
+            for x, (_, i0, i1) in best.items():
+                if i1 - i0 >= p.span:
+                    covered[x] += int((mine[x][i0:i1] != MASKED).sum())
+                    mine[x][i0:i1] = MASKED
+                    left = int(np.isin(mine[x][mine[x] != MASKED], texts[x]).sum())
+                    if covered[x] < p.share * own[x] <= covered[x] + 2 * left:
+                        todo.add(x)
         return (covered / own).tolist()
 
 
-def local_alignments(a: list[np.ndarray], b: list[np.ndarray], edit: int = 2) -> list[tuple[int, int]]:
-    """For each i the span of a[i] in its best local alignment with b[i]: a match counts 1, an edit -`edit`."""
+def local_alignments(a: list[np.ndarray], b: list[np.ndarray], edit: int = 2) -> list[tuple[int, int, int]]:
+    """For each i (score, start, end) of the span of a[i] in its best local alignment with b[i].
+
+    A match counts 1, an edit -`edit`.
+    """
     n, m = max(map(len, a)), max(map(len, b))
     left, right = np.full((len(a), n), MASKED), np.full((len(b), m), UNKNOWN)
     for i, (x, y) in enumerate(zip(a, b)):
@@ -297,6 +317,7 @@ def local_alignments(a: list[np.ndarray], b: list[np.ndarray], edit: int = 2) ->
     for k, at in enumerate(best.tolist()):
         i, j = divmod(at, m + 1)
         last, mine, s = i, score[:, k], int(score[i, k, j])
+        top = s
         while i and j and s > 0:
             match = 1 if left[k, i - 1] == right[k, j - 1] else -edit
             if s == mine[i - 1, j - 1] + match:
@@ -306,7 +327,7 @@ def local_alignments(a: list[np.ndarray], b: list[np.ndarray], edit: int = 2) ->
             else:
                 j -= 1
             s = int(mine[i, j])
-        out.append((i, last))
+        out.append((top, i, last))
     return out
 
 
@@ -367,11 +388,10 @@ def find_leaks(
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             ix = index(mine, params)
             for pdf in batches:
-                for at in range(0, len(pdf), rows):
-                    part = pdf.iloc[at : at + rows]
-                    got = leaks(part["text"].tolist(), ix)
-                    ids = part["doc_id"].tolist()
-                    yield pd.DataFrame([(ids[r], i, s) for r, i, s in got], columns=["doc_id", "item_id", "share"])
+                ids, texts = pdf["doc_id"].tolist(), pdf["text"].tolist()
+                for lo, hi in slices(texts, rows):
+                    got = leaks(texts[lo:hi], ix)
+                    yield pd.DataFrame([(ids[lo + r], i, s) for r, i, s in got], columns=["doc_id", "item_id", "share"])
 
         return slim.mapInPandas(run, schema)
 

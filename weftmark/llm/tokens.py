@@ -13,6 +13,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from weftmark.llm.batches import slices
+
 #: Folder of the public vocabulary files, and the file read from it.
 TOKENIZERS = "/opt/tokenizers"
 VOCABULARY = "byte_bpe_50k.tiktoken"
@@ -238,9 +240,10 @@ def encode_texts(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = encoder(path)
         for batch in batches:
-            for at in range(0, batch.num_rows, rows):
-                part = batch.slice(at, rows)
-                offsets, ids = own.encode(part.column(1).to_pylist())
+            texts = batch.column(1).to_pylist()
+            for lo, hi in slices(texts, rows):
+                part = batch.slice(lo, hi - lo)
+                offsets, ids = own.encode(texts[lo:hi])
                 lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(ids, pa.int32()))
                 yield pa.RecordBatch.from_arrays([part.column(0), lists], names=[id, "ids"])
 
