@@ -51,7 +51,7 @@ def parse_headings(text: str) -> list[tuple[int, str, int, int]]:
     fence = end = ""
     to_blank = False
     paragraph: list[str] = []
-    start = 0
+    start, para_inside = 0, False
     for i, raw in enumerate(lines_of(text)):
         line, inside = _inner(raw)
         if fence:
@@ -86,15 +86,15 @@ def parse_headings(text: str) -> list[tuple[int, str, int, int]]:
             paragraph = []
             out.append((len(m[1]), (m[2] or "").strip(), i, i + 1))
             continue
-        if paragraph and not inside and (m := _UNDERLINE.match(line)):
+        if paragraph and inside == para_inside and (m := _UNDERLINE.match(line)):
             out.append((1 if m[1][0] == "=" else 2, "\n".join(x.strip() for x in paragraph), start, i + 1))
             paragraph = []
             continue
         if _RULE.match(line):
             paragraph = []
             continue
-        if inside or not paragraph:
-            paragraph, start = [line], i
+        if not paragraph or inside and not (para_inside and _QUOTE.match(raw)):
+            paragraph, start, para_inside = [line], i, inside
         else:
             paragraph.append(line)
     return out

@@ -51,13 +51,16 @@ class Rewriter(Protocol):
 
 @dataclass(frozen=True)
 class LexicalScorer:
-    """The share of a section's words that a file holds, by an equi-join on words."""
+    """The share of a section's words (letters, digits and underscores) that a file holds, by an equi-join on words."""
 
     words: int = 1
 
     def scores(self, sections: DataFrame, files: DataFrame, cfg: Config) -> DataFrame:
-        q = sections.select(F.struct(*KEY).alias("_key"), F.concat_ws(" ", "heading", "content").alias("text"))
-        got = lexical_scores(q, files.select("file_path", "text"), "_key", "file_path", n=self.words)
+        def words(c):
+            return F.regexp_replace(c, r"[^\p{L}\p{N}_]+", " ").alias("text")
+
+        q = sections.select(F.struct(*KEY).alias("_key"), words(F.concat_ws(" ", "heading", "content")))
+        got = lexical_scores(q, files.select("file_path", words(F.col("text"))), "_key", "file_path", n=self.words)
         return got.select("_key.*", "file_path", "score")
 
     def failed(self, sections: DataFrame, scores: DataFrame) -> None:

@@ -34,9 +34,7 @@ def shared_dir(spark: SparkSession) -> str:
         return at.rstrip("/")
     if not spark.sparkContext.master.startswith("local["):
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    at = "file://" + os.path.join(tempfile.gettempdir(), f"weftmark-{os.getpid()}")
-    spark.conf.set("spark.checkpoint.dir", at)
-    return at
+    return "file://" + os.path.join(tempfile.gettempdir(), f"weftmark-{os.getpid()}")
 
 
 def table(spark: SparkSession, base: str, name: str) -> DataFrame:

@@ -27,9 +27,10 @@ class Folder(InputPartition):
 
 class TreeReader(DataSourceReader):
     def __init__(self, options: dict[str, str]) -> None:
+        options = {k.lower(): v for k, v in options.items()}
         self.root = Path(options["path"])
         self.suffixes = tuple(x for x in options.get("suffixes", "").split(",") if x)
-        self.fold = options.get("ignoreCase", "false") == "true"
+        self.fold = options.get("ignorecase", "false") == "true"
         self.nested = options.get("nested", "true") == "true"
         self.content = options.get("content", "true") == "true"
 
