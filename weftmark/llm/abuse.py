@@ -177,6 +177,9 @@ class Grammar:
                         j += 1
                     if j - k >= 3:
                         chunk, k = "".join(chunks[k:j]), j - 1
+                        if chunk[0] in "aAiI" and not look(chunk)[2] and look(chunk[1:])[2]:  # the first is a word
+                            clause.append(look(chunk[0])[:3])
+                            chunk = chunk[1:]
                 word, classes, bits, end = look(chunk)
                 clause.append((word, classes, bits))
                 k += 1
@@ -220,22 +223,27 @@ class Grammar:
             first = next(i for i, b in enumerate(bits) if b & self.strong)
             if any(b & self.bit["report"] for b in bits[: first + 1]):
                 best *= 0.4
-            if every & self.bit["thing"] and not every & (self.bit["you"] | self.bit["people"] | self.bit["group"] | self.bit["i"]):
+            persons = ("insult", "you", "people", "group", "i")
+            if every & self.bit["thing"] and not every & sum(self.bit[c] for c in persons):
                 best *= 0.5
         return best
 
+    def _negated(self, bits: list[int], after: int, at: int) -> bool:
+        """Whether one of the three words before `at`, none before `after`, is a negation."""
+        return any(b & self.bit["not"] for b in bits[max(after + 1, at - 3) : at])
+
     def _path(self, words: list, bits: list[int], arcs: list[Arc], first: int) -> float:
         def most(at: int, mask: int) -> float:
             return max(v for b, v in words[at][0].items() if b & mask)
 
-        states = {first: most(first, arcs[0].mask)}
+        states = {first: most(first, arcs[0].mask) * (0.3 if arcs[0].mask & self.bit["insult"] and self._negated(bits, -1, first) else 1)}
         for arc in arcs[1:]:
             step: dict[int, float] = {}
             for at, score in states.items():
                 for nxt in range(at + 1, min(len(bits), at + arc.gap + 2)):
                     if bits[nxt] & arc.mask:
                         s = min(score, most(nxt, arc.mask)) - 0.02 * (nxt - at - 1)
-                        if bits[nxt - 1] & self.bit["not"]:
+                        if self._negated(bits, at, nxt):
                             s *= 0.3
                         if s > step.get(nxt, 0.0):
                             step[nxt] = s

@@ -84,7 +84,6 @@ threat-path: path ..10 harm ..4 you|body = 1
 threat-own: harm ..3 you ..1 body = 0.7
 stalk: i ..3 follow ..2 you ..14 harm|weapon|will = 0.9
 stalk-where: i ..3 follow ..1 you ..1 follow = 0.75
-deserve: you ..2 harm|wish ..8 harm|wish = 0.7
 hate: people|group|they ..4 be ..4 slur = 1
 hate-near: people|group ..10 slur = 0.7
 hate-they: they ..3 slur = 0.75
