@@ -19,7 +19,7 @@ _MASKED = re.compile(r"^[^\W\d_]+[*#%&•×x.…_\-]{2,}[^\W\d_]*$|^[^\W\d_]+\*+
 _INNER = re.compile(r"(?<=\w)[*~|​]+(?=\w)")
 _REPEAT = re.compile(r"(.)\1+")
 _VOWELS = re.compile(r"[aeiouyäöüáéíóú0@*3146]+")
-_IDENT = re.compile(r"`[^`\n]*`|https?://\S+")
+_IDENT = re.compile(r"`[^`\s]*`|https?://\S+")
 _CJK = re.compile(r"[぀-ヿ㐀-鿿]")
 _END = re.compile(r"[.;:。\]]+[\"'”’)]*$|[!?]+[\"'”’)]*$")
 
@@ -220,10 +220,10 @@ class Grammar:
                     if s > best:
                         best = s
         if best:
-            first = next(i for i, b in enumerate(bits) if b & self.strong)
+            first = next((i for i, b in enumerate(bits) if b & self.strong), len(bits))
             if any(b & self.bit["report"] for b in bits[: first + 1]):
                 best *= 0.4
-            persons = ("insult", "you", "people", "group", "i")
+            persons = ("insult", "you", "people", "group", "role", "i")
             if every & self.bit["thing"] and not every & sum(self.bit[c] for c in persons):
                 best *= 0.5
         return best

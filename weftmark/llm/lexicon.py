@@ -14,7 +14,7 @@ i 1: i i'm im i'll ill we we'll ich wir yo nosotros je somebody someone
 will 1: will would gonna going wanna shall swear i'll ill werde werden voy vamos juro schwöre sonst vais otherwise
 never 1: never nie niemals nunca jamás nobody no_one niemand nadie keiner jamais
 not 1: not isn't aren't wasn't don't nicht kein keine keinen pas didn't
-insult 1: idiot* moron* imbecil* imbécil* cretin* halfwit* dimwit* nitwit* bonehead* dumbass* asshole* arsehole* scumbag* bastard* dickhead* shithead* fuckwit* twat* wanker* jackass* dunce* loser* retard* simpleton* numbskull* blockhead* airhead* knucklehead* douchebag* motherfucker* bitch* whore* slut* cunt* prick* arschloch* drecksack* vollidiot* schwachkopf* dummkopf* trottel* versager* mistkerl* hurensohn* wichser* schlampe* miststück* penner* blödmann* hohlkopf* depp spast* gilipollas cabrón cabrones pendejo* capullo* payaso* inútil* estúpid* imbécil* subnormal* malnacid* zorra* connard* salaud* abruti* enculé* stronzo* cretino* idiota* babaca* otário*
+insult 1: idiot* moron* imbecil* imbécil* cretin* halfwit* dimwit* nitwit* bonehead* dumbass* asshole* arsehole* scumbag* bastard* dickhead* shithead* fuckwit* twat* wanker* jackass* dunce* loser* retard* simpleton* numbskull* blockhead* airhead* knucklehead* douchebag* motherfucker* bitch* whore* slut* cunt* prick* arschloch* drecksack* vollidiot* hirntoter* hirntote schwachkopf* dummkopf* trottel* versager* mistkerl* hurensohn* wichser* schlampe* miststück* penner* blödmann* hohlkopf* depp spast* gilipollas cabrón cabrones pendejo* capullo* payaso* inútil* estúpid* imbécil* subnormal* malnacid* zorra* connard* salaud* abruti* enculé* stronzo* cretino* idiota* babaca* otário*
 beastly 0.7: pig pigs worm worms leech* parasite* filth scum garbage trash maggot* rat rats snake* swine vermin cockroach* sack_of_shit piece_of_shit waste_of_space disgrace clown* fool fools reptile* toad* rodent* brute* wurm ratte* schwein* parasit parasiten abschaum müll dreck ungeziefer stück_scheiße gusano* cerdo* cerda* parásito* basura escoria rata ratas sanguijuela* alimaña* asqueros* pedazo_de_mierda pedazo_de_basura vermine ordure verme porco lixo
 slur 0.9: vermin subhuman* cockroach* rats rat savages savage animals trash scum parasites disease plague pest filth beasts vermin* maggots pigs dogs apes monkeys criminals ungeziefer gesindel abschaum viehzeug pack ratten parasiten untermenschen schädlinge seuche tiere ratas plaga plagas alimañas bestias cucarachas escoria basura animales parásitos salvajes infrahumanos sabandijas vermine parassiti
 mean 0.6: stupid brainless useless worthless pathetic spineless gutless miserable repulsive disgusting rotten braindead dumb filthy lousy dimwitted incompetent hideous ugly clueless fucking bloody nasty vile vicious loathsome widerlich* hirnlos* erbärmlich* dreckig* dumm* nutzlos* hässlich* ekelhaft* armselig* verdammt* repugnante* asqueros* patétic* despreciable* miserable* podrid* mierda estúpid* inútil* ridícul* stupide* minable* stupido* inutile*
@@ -60,7 +60,8 @@ judged: role ..2 be ..2 mean|insult ..2 insult|beastly = 1
 judged-bare: role ..1 be ..2 insult|beastly = 0.9
 whoever: be ..2 mean ..2 insult = 0.85
 pair: insult|mean ..2 insult ..4 gone = 1
-mean-insult: mean insult = 0.75
+mean-insult: mean insult = 0.9
+is-insult: be ..1 insult = 0.75
 compare: mean|insult ..4 start ..4 you|beat = 1
 compare-end: mean|insult|beastly ..6 beat = 0.85
 curse-you: curse ..2 you|insult|beastly = 1
