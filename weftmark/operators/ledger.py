@@ -20,8 +20,8 @@ from weftmark.operators.versions import SECTION_KEY, current_versions
 #: Sequence numbers per block of the interval joins.
 BLOCK = 1 << 16
 
-#: A ledger of at most this many interval pieces (16 bytes each) is broadcast; a larger one is joined by blocks.
-BROADCAST_PIECES = 100_000
+#: A ledger of at most this many interval pieces (24 bytes each) is broadcast; a larger one is joined by blocks.
+BROADCAST_PIECES = 20_000
 
 LEDGER = "lo bigint, hi bigint"
 
@@ -74,8 +74,9 @@ def merge_intervals(*ledgers: DataFrame, block: int = BLOCK) -> DataFrame:
 def _held(df: DataFrame, seq: str, ledger: DataFrame, how: str, block: int) -> DataFrame:
     cut = _blocks(ledger, block).select(F.col("_b").alias("_lb"), F.col("lo").alias("_lo"), F.col("hi").alias("_hi"))
     # a small ledger may be one block, which would send all rows to one task; a large one has many
-    if cut.limit(BROADCAST_PIECES + 1).count() <= BROADCAST_PIECES:
-        cut = F.broadcast(cut)
+    pieces = cut.limit(BROADCAST_PIECES + 1).collect()
+    if len(pieces) <= BROADCAST_PIECES:
+        cut = F.broadcast(df.sparkSession.createDataFrame(pieces, "_lb bigint, _lo bigint, _hi bigint"))
     s = F.col(seq).cast("bigint")
     return df.join(cut, (F.floor(s / block) == F.col("_lb")) & (s >= F.col("_lo")) & (s <= F.col("_hi")), how)
 
