@@ -6,6 +6,25 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
+#: A group with more than this share of the rows is spread over several tasks, by salts.
+HOT_SHARE, SALTS = 1e-3, 64
+
+
+def hot_values(df: DataFrame, column: str, share: float = HOT_SHARE) -> list[str]:
+    """The values of a column with more than `share` of the rows; at most 1 / `share`.
+
+    A sketch of bounded size finds all of them and some others in one pass over the column, without a shuffle;
+    a second pass counts those it found.
+    """
+    some = df.where(F.col(column).isNotNull()).select(column)
+    found = some.stat.freqItems([column], share).first()
+    if not found or not found[0]:
+        return []
+    counts = some.groupBy(F.when(F.col(column).isin(found[0]), F.col(column)).alias("v")).count().collect()
+    least = share * sum(r["count"] for r in counts)
+    return sorted(r["v"] for r in counts if r["v"] is not None and r["count"] > least)
+
+
 def top_n(scored: DataFrame, n: int = 5, group: str = "key", item: str = "file", score: str = "rerank_scores") -> DataFrame:
     """Up to `n` rows (group, item, score, rank) of every group, best first.
 
@@ -13,14 +32,26 @@ def top_n(scored: DataFrame, n: int = 5, group: str = "key", item: str = "file",
     A null or NaN score is none, and a row without group or item is no candidate, so groups without a scored
     item don't come out. -0.0 equals 0.0. An empty table gives an empty result; other columns are pruned.
 
-    Scores are reduced per (group, item) before the shuffle, whose key holds the item, so a group with a third
-    of all rows is spread over all tasks. Then the rank filter becomes a group limit on both sides of the
-    second shuffle: a task sends at most `n` rows of a group.
+    Rows are shuffled once, by group, and those of a hot group by group and salt of the item: there items are
+    reduced to their highest scores and cut to `n` per group and salt. Only those survivors are shuffled again,
+    by group, with the rank filter as a group limit before and after. Which groups are hot changes the plan,
+    not the result.
     """
+    rows = scored.where(
+        F.col(group).isNotNull() & F.col(item).isNotNull() & F.col(score).isNotNull() & ~F.isnan(score)
+    ).select(group, item, score)
+    hot = hot_values(rows, group)
+    salt = F.when(F.col(group).isin(hot), F.pmod(F.hash(item), F.lit(SALTS))).otherwise(0) if hot else F.lit(0)
     best = (
-        scored.where(F.col(group).isNotNull() & F.col(item).isNotNull() & F.col(score).isNotNull() & ~F.isnan(score))
-        .groupBy(group, item)
+        rows.withColumn("_salt", salt)
+        .repartition(group, "_salt")
+        .groupBy(group, "_salt", item)
         .agg((F.max(score) + F.lit(0.0)).alias(score))
     )
-    w = Window.partitionBy(group).orderBy(F.col(score).desc(), F.col(item).asc())
-    return best.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n)
+    order = [F.col(score).desc(), F.col(item).asc()]
+    near = Window.partitionBy(group, "_salt").orderBy(*order)
+    survivors = best.withColumn("_near", F.row_number().over(near)).where(F.col("_near") <= n)
+    w = Window.partitionBy(group).orderBy(*order)
+    return (
+        survivors.select(group, item, score).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n)
+    )
