@@ -26,8 +26,8 @@ _STOP = re.compile(r"[.!?:;\n]+(?:\s|$)")
 #: Ids of a token outside the items' vocabulary, of the padding after a window, and of a masked item token.
 UNKNOWN, PAD, MASKED = 0, 1, 2
 
-#: Words of a text aligned at once.
-SEGMENT = 8192
+#: Words of a text aligned at once, and bits of the places that item word pairs are hashed to.
+SEGMENT, PLACES = 8192, 22
 
 
 def _unescape(m: re.Match) -> str:
@@ -120,6 +120,8 @@ class Index:
         order = np.argsort(pairs_, kind="stable")
         self.pairs, self.owners = pairs_[order], owners_[order]
         self.known = np.unique(self.pairs)
+        self.held = np.zeros(1 << PLACES, np.int32)
+        self.held[self._place(self.known)] = 1
         self._tables()
 
     def _stock(self, texts: list[str], words: list[list[str]]) -> list[np.ndarray]:
@@ -179,21 +181,22 @@ class Index:
         get = self.vocabulary.get
         return np.array([get(w, UNKNOWN) for w in words], np.int64)
 
+    def _place(self, pair: np.ndarray) -> np.ndarray:
+        return (pair.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - PLACES)).astype(np.int64)
+
     def windows(self, tokens: np.ndarray) -> np.ndarray:
         """Starts of windows that can be within `edits` edits of an item window.
 
         An edit changes at most two word pairs, so such a window keeps window - 1 - 2 edits pairs of items;
-        windows with fewer can't match, and none else is left out.
+        windows with fewer can't match, and none else is left out. Pairs are looked up by hash: one that is
+        taken for an item's can only let another window in.
         """
         p = self.p
         if len(tokens) < 2 or not len(self.known):
             return np.zeros(0, np.int64)
-        ok = (tokens[:-1] > MASKED) & (tokens[1:] > MASKED)
-        hit = np.zeros(len(ok), np.int64)
-        some = np.flatnonzero(ok)
-        pair = tokens[some] * self.size + tokens[some + 1]
-        at = np.minimum(np.searchsorted(self.known, pair), len(self.known) - 1)
-        hit[some[self.known[at] == pair]] = 1
+        some = np.flatnonzero((tokens[:-1] > MASKED) & (tokens[1:] > MASKED))
+        hit = np.zeros(len(tokens) - 1, np.int32)
+        hit[some] = self.held[self._place(tokens[some] * self.size + tokens[some + 1])]
         total = np.concatenate([[0], np.cumsum(hit)])
         starts = np.arange(max(1, len(tokens) - p.window + 1))
         ends = np.minimum(starts + p.window - 1, len(hit))
@@ -345,28 +348,30 @@ def index(items: list[tuple[int, str]], p: Params) -> Index:
 
 def leaks(texts: list[str | None], ix: Index) -> list[tuple[int, int, float]]:
     """(row, item id, share) of every leak in the texts."""
-    parts, owner, at = [], [], [0]
-    for row, t in enumerate(texts):
-        words = fold(t) if t else []
-        tokens = ix.encode(words)
-        starts = ix.windows(tokens)
-        if len(starts):
-            parts.append((tokens, starts))
-            owner.append(row)
-            at.append(at[-1] + len(tokens) + ix.p.window)
-    if not parts:
+    get, gap = ix.vocabulary.get, [UNKNOWN] * ix.p.window
+    flat: list[int] = []
+    begins, ends = [], []
+    for t in texts:
+        begins.append(len(flat))
+        if t:
+            flat += [get(w, UNKNOWN) for w in fold(t)]
+        ends.append(len(flat))
+        flat += gap  # no pair of words spans two texts
+    tokens = np.array(flat, np.int64)
+    starts = ix.windows(tokens)
+    row = np.searchsorted(begins, starts, "right") - 1
+    inside = starts < np.asarray(ends)[row]
+    starts, row = starts[inside], row[inside]
+    if not len(starts):
         return []
-    gap = np.full(ix.p.window, UNKNOWN)
-    flat = np.concatenate([x for tokens, _ in parts for x in (tokens, gap)])
-    starts = np.concatenate([s + o for (_, s), o in zip(parts, at)])
-    doc_of = np.repeat(np.arange(len(parts)), [len(s) for _, s in parts])
-    found = ix.candidates(flat, starts, doc_of, len(parts))
-    pairs, text_of = [], []
-    for doc in np.flatnonzero(found.any(1)).tolist():
-        for item in ix.enough(parts[doc][0], np.flatnonzero(found[doc])).tolist():
-            pairs.append((parts[doc][0], item))
-            text_of.append(owner[doc])
-    return [(t, int(ix.ids[k]), s) for t, (_, k), s in zip(text_of, pairs, ix.shares(pairs)) if s >= ix.p.share]
+    found = ix.candidates(tokens, starts, row, len(texts))
+    pairs, row_of = [], []
+    for row in np.flatnonzero(found.any(1)).tolist():
+        mine = tokens[begins[row] : ends[row]]
+        for item in ix.enough(mine, np.flatnonzero(found[row])).tolist():
+            pairs.append((mine, item))
+            row_of.append(row)
+    return [(r, int(ix.ids[k]), s) for r, (_, k), s in zip(row_of, pairs, ix.shares(pairs)) if s >= ix.p.share]
 
 
 def find_leaks(
