@@ -150,7 +150,7 @@ def _pack_batches(capacity: int, shard: int):
     return run
 
 
-def fill_containers(sections: DataFrame, capacity: int = 2000, shard: int = 512) -> DataFrame:
+def fill_containers(sections: DataFrame, capacity: int = 2000, shard: int = 2048) -> DataFrame:
     """Containers of at most `capacity` characters holding the contents of all current versions, whole.
 
     One row per container: `container_id` (a hash of its first item's key, the same in every run over the
