@@ -324,7 +324,7 @@ def q30_cosine(spark: SparkSession, base: str) -> DataFrame:
     v = table(spark, base, "embeddings")
     q = v.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("_q"))
     pairs = v.join(q, F.lit(True))
-    return pairs.select("query_id", "vec_id", F.round(rt.cosine(F.col("_q"), F.col("embedding")), 4).alias("score"))
+    return pairs.select("query_id", "vec_id", (F.round(rt.cosine(F.col("_q"), F.col("embedding")), 4) + F.lit(0.0)).alias("score"))
 
 
 def q32_request_batches(spark: SparkSession, base: str) -> DataFrame:
@@ -441,8 +441,9 @@ ORACLE = {
     WHEN change_type = 'renamed' THEN 'File renamed — section reviewed/rewritten' ELSE 'Code changes — section rewritten' END AS reason, count(*) AS n FROM a GROUP BY ALL""",
     "q28_eval_rows": f"""WITH {_SCORES} SELECT split_part(key, '::', 1) AS doc_file, split_part(key, '::', 2) AS heading, count(*) AS n, max(round_even(score, 2)) AS best FROM sc GROUP BY ALL""",
     "q29_docs_by_folder": """WITH d AS (SELECT DISTINCT file_path AS f FROM sections) SELECT CASE WHEN contains(f, '/') THEN split_part(f, '/', 1) ELSE '(root)' END AS folder, string_agg(f, ',' ORDER BY f) AS files FROM d GROUP BY ALL""",
-    "q30_cosine": """SELECT q.vec_id AS query_id, v.vec_id, round(list_cosine_similarity(CAST(q.embedding AS DOUBLE[]), CAST(v.embedding AS DOUBLE[])), 4) AS score
-  FROM embeddings v JOIN embeddings q ON q.vec_id % 100 = 0""",
+    "q30_cosine": """WITH e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS x FROM embeddings)
+  SELECT q.vec_id AS query_id, v.vec_id, round(list_dot_product(q.x, v.x) / (sqrt(list_dot_product(q.x, q.x)) * sqrt(list_dot_product(v.x, v.x))), 4) + CAST(0 AS DOUBLE) AS score
+  FROM e v JOIN e q ON q.vec_id % 100 = 0""",
     "q32_request_batches": """WITH p AS (SELECT DISTINCT key, file AS file_path FROM candidate_results),
   b AS (SELECT *, (row_number() OVER (PARTITION BY key ORDER BY file_path) - 1) // 10 AS batch FROM p) SELECT key, batch, count(*) AS files, min(file_path) AS first_file FROM b GROUP BY ALL""",
     "q35_rerank_queries": f"""WITH {_CUR} SELECT doc_file, heading, chunk_index, md5('Search for code implementing: ' || heading || ' (in ' || string_split(doc_file, '/')[-1] || ')' ||
