@@ -34,7 +34,7 @@ NOTICE = re.compile(
     re.I,
 )
 REMARK = re.compile(r"by hand|used to|maintained by|internal use|\bids? (are|is)\b|replaces the|was generated once", re.I)
-FOREIGN = re.compile(r"(^|/)(node_modules|site-packages|_?vendor|third_?party|3rdparty|external|bower_components|\.venv)/", re.I)
+FOREIGN = re.compile(r"(^|/)(node_modules|site-packages|_?vendor|third_?party|3rdparty|external|deps|bower_components|\.venv)/", re.I)
 MADE = re.compile(r"(^|/)(__generated__|autogen|generated)/|\.min\.[jt]sx?$|\.(gen|generated|pb)\.\w+$|_pb2\.py$", re.I)
 
 _LEGAL = re.compile(r"licen[cs]e|copyright|\(c\)|generated|@\w|upstream (release|archive)|unchanged|imported from|do not", re.I)
@@ -114,7 +114,9 @@ def content_features(path: str, masked: str) -> np.ndarray:
     out[RAW : RAW + SHAPE] = 1.5 * _grams(_KIND[b], 6, 4, SHAPE)
     folders = path.lower().split("/")[1:]
     for name in [*folders[:-1], *["." + x for x in folders[-1].split(".")[1:]]] if folders else []:
-        out[RAW + SHAPE + zlib.crc32(name.encode("utf-8", "surrogatepass")) % PATH] = PATH_SCALE
+        out[RAW + SHAPE + 2 + zlib.crc32(name.encode("utf-8", "surrogatepass")) % (PATH - 2)] = PATH_SCALE
+    # folders and endings that mean the same share a feature
+    out[RAW + SHAPE : RAW + SHAPE + 2] = COPIES_SCALE * bool(FOREIGN.search(path)), COPIES_SCALE * bool(MADE.search(path))
     return out
 
 
@@ -131,18 +133,32 @@ def header_features(header: str) -> np.ndarray:
 
 
 def fit_svm(x: np.ndarray, y: np.ndarray, reg: float, rounds: int = 150) -> tuple[np.ndarray, float]:
-    """A linear support-vector machine (squared hinge loss, classes weighted alike), by accelerated descent."""
+    """A linear support-vector machine (squared hinge loss, classes weighted alike), by accelerated descent.
+
+    Features are centred, which takes out the direction all files share, and the step follows from the greatest
+    eigenvalue that is left, so that rare features are learned in the same number of rounds.
+    """
+    weight = np.where(y > 0, 0.5 / max(1, (y > 0).sum()), 0.5 / max(1, (y < 0).sum())).astype(np.float32)
+    mean = weight @ x
+    x = x - mean
     n, d = x.shape
+    q = np.ones(d, np.float32) / np.sqrt(d, dtype=np.float32)
+    top = 1.0
+    for _ in range(12):
+        q = (weight * (x @ q)) @ x
+        top = float(np.linalg.norm(q))
+        if not top:
+            break
+        q /= top
     w, b, v, vb = np.zeros(d, np.float32), 0.0, np.zeros(d, np.float32), 0.0
-    weight = np.where(y > 0, 0.5 / max(1, (y > 0).sum()), 0.5 / max(1, (y < 0).sum())).astype(np.float32)
-    step = 1.0 / (2 * float((weight * ((x * x).sum(1) + 1)).sum()) + reg)
+    step = 1.0 / (2.2 * (top + 1) + reg)
     for t in range(rounds):
         m = t / (t + 3)
         u, ub = w + m * (w - v), b + m * (b - vb)
         slack = np.maximum(0, 1 - y * (x @ u + ub)) * weight * y
         v, vb = w, b
         w, b = u + step * (2 * (slack @ x) - reg * u), ub + step * 2 * float(slack.sum())
-    return w.astype(np.float32), float(b)
+    return w.astype(np.float32), float(b - mean @ w)
 
 
 @dataclass
@@ -242,7 +258,7 @@ def with_copies(facts: DataFrame) -> DataFrame:
     return facts.join(shared, "body", "left").withColumn("n_repos", F.coalesce("n_repos", F.lit(1)))
 
 
-def score_files(code_elements: DataFrame, sample: int = 1500, limit: int = 60_000) -> tuple[DataFrame, Model]:
+def score_files(code_elements: DataFrame, sample: int = 1500, limit: int = 20_000) -> tuple[DataFrame, Model]:
     """(file_path, body, content, header, score) of every whole file with code, and the model.
 
     The classifiers are fitted on at most `sample` labelled files of either sort and 500 without label, those
@@ -300,6 +316,7 @@ def score_files(code_elements: DataFrame, sample: int = 1500, limit: int = 60_00
         .withColumn("content", F.col("content") + bonus)
         .withColumn("own", F.greatest("content", "header"))
     )
-    best = scored.where(F.col("n_repos") > 1).groupBy("body").agg(F.max("own").alias("_best"))
+    # also within a repository: a copy without notice is told by one with it
+    best = scored.groupBy("body").agg(F.max("own").alias("_best"), F.count("*").alias("_n")).where(F.col("_n") > 1).drop("_n")
     out = scored.join(best, "body", "left").withColumn("score", F.greatest("own", F.coalesce("_best", F.col("own"))))
     return out.select("file_path", "body", "n_repos", "content", "header", "score"), model
