@@ -5,7 +5,7 @@ from __future__ import annotations
 import hashlib
 import heapq
 from bisect import bisect_left, insort
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -21,43 +21,39 @@ CONTAINER = (
 )
 
 
-def differencing(sizes: np.ndarray, k: int) -> list[list[int]]:
+def differencing(sizes: Sequence[int], k: int) -> list[list[int]]:
     """Splits items into `k` windows of near-equal sums (Karmarkar-Karp, multiway).
 
-    A partial partition is a vector of k window sums. The two whose spreads are greatest are merged with
-    their windows in opposite order, largest with smallest, until one partition is left. Only sums and the
-    merge tree are kept; members are read from the tree at the end. Ties are broken by age, so equal input
-    gives equal output.
+    A partial partition is a list of at most k window sums, the windows it lacks being empty. The two whose
+    spreads are greatest are merged with their windows in opposite order, largest with smallest, until one
+    partition is left. Only sums and the merge tree are kept; members are read from the tree at the end. Ties
+    are broken by age, so equal input gives equal output.
     """
     n = len(sizes)
     if k == 1 or not n:
         return [list(range(n))] + [[] for _ in range(k - 1)]
-    # a partition is (sums in descending order without their minimum, node of each window or -1)
-    first = np.full(k, -1, np.int64)
-    heap, left, right = [], [], []
-    for i, size in enumerate(sizes):
-        sums, nodes = np.zeros(k, np.int64), first.copy()
-        sums[0], nodes[0] = size, i
-        heap.append((-int(size), i, sums, nodes))
+    # a partition is (sum, node) of its windows that aren't empty, ascending
+    heap = [(-int(size), i, [(int(size), i)]) for i, size in enumerate(sizes)]
     heapq.heapify(heap)
-    age = n
+    left, right, age = [], [], n
     while len(heap) > 1:
-        _, _, a, na = heapq.heappop(heap)
-        _, _, b, nb = heapq.heappop(heap)
-        sums, nodes, other = a + b[::-1], na.copy(), nb[::-1]
-        nodes[na < 0] = other[na < 0]
-        both = np.flatnonzero((na >= 0) & (other >= 0))
-        if len(both):
-            nodes[both] = n + len(left) + np.arange(len(both))
-            left.extend(na[both].tolist())
-            right.extend(other[both].tolist())
-        order = np.argsort(-sums, kind="stable")
-        sums, nodes = sums[order], nodes[order]
-        heapq.heappush(heap, (-int(sums[0] - sums[-1]), age, sums, nodes))
+        a, b = sorted((heapq.heappop(heap)[2], heapq.heappop(heap)[2]), key=len, reverse=True)
+        both = max(0, len(a) + len(b) - k)
+        new = b[both:]
+        for (x, p), (y, q) in zip(a[:both], reversed(b[:both])):
+            new.append((x + y, n + len(left)))
+            left.append(p)
+            right.append(q)
+        a = a[both:]
+        if len(new) == 1:
+            insort(a, new[0])
+        else:
+            a = sorted(a + new)
+        heapq.heappush(heap, ((a[0][0] if len(a) == k else 0) - a[-1][0], age, a))
         age += 1
     windows = []
-    for node in heap[0][3].tolist():
-        members, stack = [], [node] if node >= 0 else []
+    for _, node in reversed(heap[0][2]):
+        members, stack = [], [node]
         while stack:
             x = stack.pop()
             if x < n:
@@ -65,7 +61,7 @@ def differencing(sizes: np.ndarray, k: int) -> list[list[int]]:
             else:
                 stack += (left[x - n], right[x - n])
         windows.append(sorted(members))
-    return windows
+    return windows + [[] for _ in range(k - len(windows))]
 
 
 def lower_bound(sizes: list[int], capacity: int) -> int:
@@ -84,38 +80,53 @@ def lower_bound(sizes: list[int], capacity: int) -> int:
     return best
 
 
+def best_fit(pool: list[int], sizes: list[int], capacity: int) -> list[list[int]]:
+    """Windows of at most `capacity`: each item of `pool` in turn goes into the fullest it fits, else a new one."""
+    gaps, windows = [], []
+    for i in pool:
+        at = bisect_left(gaps, (sizes[i], -1))
+        gap, j = gaps.pop(at) if at < len(gaps) else (capacity, len(windows))
+        if j == len(windows):
+            windows.append([])
+        windows[j].append(i)
+        insort(gaps, (gap - sizes[i], j))
+    return windows
+
+
 def pack(sizes: list[int], capacity: int) -> list[list[int]]:
     """Windows of at most `capacity`, as few as found, each item of `sizes` (all <= capacity) in one of them.
 
     The items are differenced into as many windows as any packing needs. Windows within capacity whose unused
     space is small are closed, as long as closing them doesn't raise the number that the rest needs; the rest,
     of windows over capacity or with much unused space, is differenced anew. The unused space allowed doubles
-    whenever no window can be closed. When even half a container may stay unused, what is left of the windows
-    over capacity is placed into the fullest window it fits, and the window count rises where there is none.
+    whenever no window can be closed. When even half a container may stay unused, the window count rises by
+    one and the rest is differenced anew, until every window fits.
+
+    Where the count has to rise, the whole rest is also packed by best fit, largest first, into new windows,
+    and that packing is taken if it has fewer windows. Differencing ends once it can't have as few.
     """
     pool, closed, slack = sorted(range(len(sizes)), key=lambda i: (-sizes[i], i)), [], max(1, capacity // 400)
-    need = lower_bound([sizes[i] for i in pool], capacity)
-    while pool and slack <= capacity // 2:
-        windows = [[pool[i] for i in w] for w in differencing(np.asarray([sizes[i] for i in pool]), need) if w]
+    need, other = lower_bound([sizes[i] for i in pool], capacity), None
+    while pool:
+        windows = [[pool[i] for i in w] for w in differencing([sizes[i] for i in pool], need) if w]
         sums = [sum(sizes[i] for i in w) for w in windows]
+        if max(sums) <= capacity:
+            closed, pool = closed + windows, []
+            break
         good = [w for w, used in zip(windows, sums) if capacity - slack <= used <= capacity]
-        if len(good) == len(windows):
-            return closed + good
         gone = {i for w in good for i in w}
         rest = [i for i in pool if i not in gone]
-        if good and (fewer := lower_bound([sizes[i] for i in rest], capacity)) <= need - len(good):
-            closed, pool, need = closed + good, rest, fewer
-        else:
+        if good and lower_bound([sizes[i] for i in rest], capacity) <= need - len(good):
+            closed, pool, need = closed + good, rest, need - len(good)
+        elif slack <= capacity // 4:
             slack *= 2
-    gaps, last = [], []
-    for i in pool:
-        at = bisect_left(gaps, (sizes[i], -1))
-        gap, j = gaps.pop(at) if at < len(gaps) else (capacity, len(last))
-        if j == len(last):
-            last.append([])
-        last[j].append(i)
-        insort(gaps, (gap - sizes[i], j))
-    return closed + last
+        else:
+            if other is None:
+                other = closed + best_fit(pool, sizes, capacity)
+            need, slack = need + 1, max(1, capacity // 400)
+            if len(closed) + need > len(other):
+                return other
+    return closed if other is None or len(closed) <= len(other) else other
 
 
 def _pack_batches(capacity: int, shard: int):
