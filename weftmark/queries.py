@@ -1,7 +1,9 @@
 """The catalogue of core queries: one per group of operators, each with the SQL that gives the same rows.
 
 Inputs are derived from the tables by expressions that both engines share. Markdown is made of the lines of
-documents: letters only, every fourth line a heading; the SQL knows the sections without parsing.
+documents: letters only, every fourth line a heading; the SQL knows the sections without parsing. Those inputs are
+cut, so each operator on Markdown has a second query over the texts of documents as they are, with default limits
+and without SQL, which can't parse Markdown; likewise the lexical scores.
 """
 
 from __future__ import annotations
@@ -170,6 +172,30 @@ def q04_sentence_pack(spark: SparkSession, base: str) -> DataFrame:
     return docs.select("doc_id", F.posexplode(sec.pack_sentences(F.col("t"), 60, sec.count_words)).alias("pos", "part"))
 
 
+def _texts(spark: SparkSession, base: str) -> DataFrame:
+    """Whole texts of documents, as they are."""
+    return table(spark, base, "documents").select(F.col("doc_id").cast("string").alias("doc_file"), "text")
+
+
+def q01_document_sections(spark: SparkSession, base: str) -> DataFrame:
+    return sec.sections(_texts(spark, base))
+
+
+def q02_document_paragraphs(spark: SparkSession, base: str) -> DataFrame:
+    s = sec.sections(_texts(spark, base))
+    return s.select("doc_file", "ordinal", F.posexplode(sec.paragraphs(F.col("content"))).alias("pos", "paragraph"))
+
+
+def q03_document_chunks(spark: SparkSession, base: str) -> DataFrame:
+    return sec.chunks(sec.sections(_texts(spark, base)))
+
+
+def q04_document_sentences(spark: SparkSession, base: str) -> DataFrame:
+    """Paragraphs of whole texts, those over the limit of tokens that chunks have in runs of sentences."""
+    p = _texts(spark, base).select("doc_file", F.posexplode(sec.paragraphs(F.col("text"))).alias("paragraph", "t"))
+    return p.select("doc_file", "paragraph", F.posexplode(sec.pack_sentences(F.col("t"), 8000)).alias("pos", "part"))
+
+
 def q05_point_lookup(spark: SparkSession, base: str) -> DataFrame:
     s = _current(spark, base, "content").withColumn("content", F.coalesce("content", F.lit(""))).withColumnRenamed("chunk_index", "ordinal")
     return sec.point_lookup(s, "Overview")
