@@ -91,3 +91,18 @@ def test_sentences(spark, base):
     got = rows(queries.QUERIES["q04_document_sentences"](spark, base))
     want = [(str(d), n, k, s) for d, t in TEXTS.items() for n, p in enumerate(parts(t)) for k, s in enumerate(sentences(p))]
     assert got == sorted(want, key=repr) and any(k > 0 for _, _, k, _ in got)
+
+
+def test_scores_of_pairs_without_a_common_run(spark, tmp_path):
+    """Pairs that share single words are scored, though they share no run of three."""
+    items = {1: "Alpha beta gamma delta", 2: "beta  beta omega", 3: None, 4: "zeta"}
+    docs = {10: "gamma then alpha", 11: "gamma then alpha", 12: "alpha beta gamma", 13: "nothing", 14: None, 15: "x\nomega y"}
+    spark.createDataFrame(list(items.items()), "item_id bigint, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    spark.createDataFrame(list(docs.items()), "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
+
+    def words(t):
+        return {w for w in (t or "").lower().split(" ") if w}
+
+    want = [(i, d, len(words(a) & words(b)) / len(words(a))) for i, a in items.items() for d, b in docs.items() if words(a) & words(b)]
+    got = rows(queries.QUERIES["q10_scores_words"](spark, str(tmp_path)), "item_id", "doc_id", "score")
+    assert got == sorted(want, key=repr) and (1, 10, 0.5) in got

@@ -224,6 +224,11 @@ def q10_scores_lexical(spark: SparkSession, base: str) -> DataFrame:
     return rt.lexical_scores(table(spark, base, "benchmark"), table(spark, base, "documents"), "item_id", "doc_id", n=3)
 
 
+def q10_scores_words(spark: SparkSession, base: str) -> DataFrame:
+    """All pairs that share a word, as the pipeline's scorer has them."""
+    return rt.lexical_scores(table(spark, base, "benchmark"), table(spark, base, "documents"), "item_id", "doc_id")
+
+
 def q11_floor_gap(spark: SparkSession, base: str) -> DataFrame:
     return rt.floor_and_gap(_scores(spark, base), ("key",), "file_path").select("key", "file_path", "score", "rank")
 
