@@ -1,7 +1,9 @@
+import random
+
 import pytest
 
 from tests.conftest import DATA, rows
-from weftmark.llm.abuse import THRESHOLD, abuse_rates, grammar, score_abuse
+from weftmark.llm.abuse import THRESHOLD, Grammar, abuse_rates, grammar, score_abuse
 
 ABUSIVE = [
     "You are a useless idiot and your patch proves it.", "you stupid little moron, stay away from `x`", "What kind of imbecile writes this?", "Fuck you and your pathetic review, asshole.",
@@ -33,6 +35,27 @@ def test_sober(text):
     assert grammar().score(text) < THRESHOLD
 
 
+@pytest.mark.parametrize("text", ["Pathetic from start to end, just like you.", "I'll come to your house"])
+def test_patterns_without_an_insult(text):
+    assert grammar().score(text) >= THRESHOLD
+
+
+def test_no_pattern_is_left_out():
+    """A clause scores what its best pattern gives, each tried on it alone and unfiltered."""
+    g, rng = Grammar(), random.Random(6)
+    words = sorted(w for w in g.words if w.isalpha() and len(w) > 1)
+    for name, arcs, _ in g.patterns:
+        for _ in range(20):
+            clause = " ".join(rng.choice([w for w in words if any(b & a.mask for b in g.words[w])] or words) for a in arcs)
+            clause += " " + rng.choice(words)
+            every, best = g.patterns, 0.0
+            for one in every:
+                g.patterns, g.fitting = [one], {}
+                best = max(best, *(g.clause_score(g._phrased(c)) for c in g._clauses(clause)))
+            g.patterns, g.fitting = every, {}
+            assert g.score(clause) == round(min(1.0, best), 4), (name, clause)
+
+
 def test_columns_and_rates(spark):
     data = [(1, ABUSIVE[0], "a"), (2, "fine", "a"), (3, None, "b"), (4, "", None), (5, ABUSIVE[1], None), (5, ABUSIVE[1], None), (None, "x" * 100_000, "b")]
     df = spark.createDataFrame([(*r, 0.5) for r in data], "doc_id bigint, text string, source string, score double")

@@ -113,6 +113,7 @@ class Grammar:
         self.ja_bare = re.compile(lexicon.JA_BARE)
         self.ja_report = re.compile(lexicon.JA_REPORT)
         self.cache: dict[str, tuple[str, dict[int, float], int, bool]] = {}
+        self.fitting: dict[int, list[tuple[list[Arc], float]]] = {}
 
     def _known(self, w: str) -> dict[int, float]:
         """Classes of a squeezed word, by itself and by its stems."""
@@ -205,14 +206,23 @@ class Grammar:
             out.append((classes, bits))
         return out
 
+    def _fitting(self, every: int) -> list[tuple[list[Arc], float]]:
+        """The patterns that a clause with these classes can match: those of which it has a class for every arc."""
+        got = self.fitting.get(every)
+        if got is None:
+            if len(self.fitting) > 100_000:
+                self.fitting.clear()
+            got = self.fitting[every] = [(arcs, w) for _, arcs, w in self.patterns if all(every & a.mask for a in arcs)]
+        return got
+
     def clause_score(self, words: list[tuple[dict[int, float], int]]) -> float:
         best = 0.0
         bits = [b for _, b in words]
         every = 0
         for b in bits:
             every |= b
-        for _, arcs, weight in self.patterns:
-            if weight <= best or any(not every & a.mask for a in arcs):
+        for arcs, weight in self._fitting(every):
+            if weight <= best:
                 continue
             for first, b in enumerate(bits):
                 if b & arcs[0].mask:
@@ -271,13 +281,11 @@ class Grammar:
         """The greatest clause score of a text, between 0 and 1; 0 for null, empty and blank texts."""
         if not text:
             return 0.0
-        best, strong = 0.0, self.strong
+        best = 0.0
         if "`" in text or "://" in text:
             text = _IDENT.sub("", text)
         for clause in self._clauses(text):
-            words = self._phrased(clause)
-            if any(b & strong for _, b in words):
-                best = max(best, self.clause_score(words))
+            best = max(best, self.clause_score(self._phrased(clause)))
             if best >= 1:
                 return best
         if not text.isascii() and _CJK.search(text):
