@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 
 from tests.conftest import rows
-from weftmark.llm.leakage import MASKED, Index, Params, find_leaks, fold, local_alignments
+from weftmark.llm.leakage import MASKED, Index, Params, extended, find_leaks, fold, local_alignments
 
 STOCK = "Read the passage and answer in one word."
 
@@ -88,6 +88,36 @@ def test_recall_of_the_search_against_brute_force(items):
     assert len(truth) > 250 and len(got & truth) / len(truth) >= 0.98 and got <= truth
 
 
+@pytest.mark.parametrize("pieces, least", [(1, 0.95), (2, 0.92), (3, 0.85)])
+def test_recall_of_planted_thirds(items, pieces, least):
+    """Passages of exactly a third of an item's words among foreign ones, every eighth word altered."""
+    from weftmark.llm.leakage import leaks
+
+    rng, texts = random.Random(10), []
+    ix = Index([x for x in items[:30]])
+    for n in range(300):
+        ws, at, k = items[n % 30][1].removeprefix(STOCK).split(), 0, rng.randrange(8)
+        sizes = [27 // pieces + (i < 27 % pieces) for i in range(pieces)]
+        cuts = sorted(rng.randrange(80 - 27 + 1) for _ in sizes)
+        text = filler(rng, 40)
+        for c, size in zip(cuts, sizes):
+            part = altered(["-"] * k + ws[c + at : c + at + size], rng)
+            text, at, k = text + " " + " ".join(w for w in part if w != "-") + " " + filler(rng, 40), at + size, (k + size) % 8
+        texts.append(text)
+    got = {(r, i) for r, i, _ in leaks(texts, ix)}
+    assert sum((n, n % 30) in got for n in range(300)) / 300 >= least and all(i == n % 30 for n, i in got)
+
+
+def test_trimmed_ends():
+    a, x = np.arange(3, 33), 99
+    # a changed, a dropped and an added word, with two words that match beyond it
+    for b, end in (([*a[:16], x, *a[17:19]], 19), ([*a[:16], *a[17:19]], 19), ([*a[:16], x, *a[16:18]], 18)):
+        assert extended(a, np.array(b), 0, 16, 0, 16, 0) == (0, end)
+        assert extended(a[::-1], np.array(b)[::-1], 14, 30, len(b) - 16, len(b), 0) == (30 - end, 30)
+        assert extended(a, np.array(b), 0, 16, 0, 16, 3) == (0, 16)  # too many edits already
+    assert extended(a, np.array([*a[:16], x, x, *a[18:20]]), 0, 16, 0, 16, 0) == (0, 16)
+
+
 def brute_score(a, b):
     best = 0
     h = np.zeros((len(a) + 1, len(b) + 1), int)

@@ -250,8 +250,8 @@ class Index:
     def shares(self, pairs: list[tuple[np.ndarray, int]], most: int = 1 << 21) -> list[float]:
         """For (text, item) pairs, the share of the item's own words in spans aligned with the text.
 
-        Spans are found one after another by exact local alignment, each time without the item words of the
-        spans before, until the share asked for is reached or no span is left.
+        Spans are found one after another by local alignment, each time without the item words of the spans
+        before, and extended over trimmed ends, until the share asked for is reached or no span is left.
         """
         p = self.p
         texts = [self.near(t, k) for t, k in pairs]
@@ -279,8 +279,8 @@ class Index:
                     end += 1
                 some = work[at:end]
                 at = end
-                for (x, _), found in zip(some, local_alignments([mine[x] for x, _ in some], [t for _, t in some])):
-                    best[x] = max(best.get(x, (0, 0, 0)), found)
+                for (x, t), found in zip(some, _spans([mine[x] for x, _ in some], [t for _, t in some])):
+                    best[x] = max(best.get(x, (0, 0, 0)), (found[0], *extended(mine[x], t, *found[1:])))
             todo = set()
             for x, (_, i0, i1) in best.items():
                 if i1 - i0 >= p.span:
@@ -297,6 +297,48 @@ def local_alignments(a: list[np.ndarray], b: list[np.ndarray], edit: int = 2) ->
 
     A match counts 1, an edit -`edit`.
     """
+    return [found[:3] for found in _spans(a, b, edit)]
+
+
+def extended(a: np.ndarray, b: np.ndarray, i0: int, i1: int, j0: int, j1: int, edits: int) -> tuple[int, int]:
+    """The span a[i0:i1], aligned with b[j0:j1], with the ends that local alignment trims.
+
+    An altered word with fewer than three matching ones beyond it costs more than they gain. Each end grows
+    over one edit at a time, where words match beyond it, as long as the span has about one edit in eight words.
+    """
+    if i1 <= i0:
+        return i0, i1
+
+    def run(i: int, j: int, step: int) -> int:
+        n = 0
+        while 0 <= i < len(a) and 0 <= j < len(b) and a[i] == b[j] and a[i] > MASKED:
+            i, j, n = i + step, j + step, n + 1
+        return n
+
+    more = True
+    while more:
+        more = False
+        for step in (1, -1):
+            i, j = (i1, j1) if step > 0 else (i0 - 1, j0 - 1)
+            ways = []
+            for di, dj in ((1, 1), (1, 0), (0, 1)):  # altered, dropped, added
+                if di and not (0 <= i < len(a) and a[i] > MASKED):
+                    continue
+                n = run(i + step * di, j + step * dj, step)
+                if n and edits + 1 <= -(-(i1 - i0 + di + n) // 8):
+                    ways.append((n, di, dj))
+            if ways:
+                n, di, dj = max(ways)
+                edits, more = edits + 1, True
+                if step > 0:
+                    i1, j1 = i1 + di + n, j1 + dj + n
+                else:
+                    i0, j0 = i0 - di - n, j0 - dj - n
+    return i0, i1
+
+
+def _spans(a: list[np.ndarray], b: list[np.ndarray], edit: int = 2) -> list[tuple[int, int, int, int, int, int]]:
+    """(score, start and end in a[i], start and end in b[i], edits) of local_alignments."""
     n, m = max(map(len, a)), max(map(len, b))
     left, right = np.full((len(a), n), MASKED), np.full((len(b), m), UNKNOWN)
     for i, (x, y) in enumerate(zip(a, b)):
@@ -319,18 +361,19 @@ def local_alignments(a: list[np.ndarray], b: list[np.ndarray], edit: int = 2) ->
     out = []
     for k, at in enumerate(best.tolist()):
         i, j = divmod(at, m + 1)
-        last, mine, s = i, score[:, k], int(score[i, k, j])
-        top = s
+        last, stop, mine, s = i, j, score[:, k], int(score[i, k, j])
+        top, edits = s, 0
         while i and j and s > 0:
             match = 1 if left[k, i - 1] == right[k, j - 1] else -edit
+            edits += 1
             if s == mine[i - 1, j - 1] + match:
-                i, j = i - 1, j - 1
+                i, j, edits = i - 1, j - 1, edits - (match == 1)
             elif s == mine[i - 1, j] - edit:
                 i -= 1
             else:
                 j -= 1
             s = int(mine[i, j])
-        out.append((top, i, last))
+        out.append((top, i, last, j, stop, edits))
     return out
 
 
