@@ -108,6 +108,22 @@ def test_recall_of_planted_thirds(items, pieces, least):
     assert sum((n, n % 30) in got for n in range(300)) / 300 >= least and all(i == n % 30 for n, i in got)
 
 
+def test_the_pair_count_drops_no_passage_that_alignment_accepts(items):
+    rng, kept, accepted = random.Random(12), 0, 0
+    ix = Index(items[:30])
+    for n in range(1500):
+        k, at, text = n % 30, 0, []
+        for size in (10, 9, 9):
+            c = at + rng.randrange(8)
+            for w in items[k][1].removeprefix(STOCK).split()[c : c + size]:
+                text += [w] if rng.random() > 1 / 8 else rng.choice(([], ["other"], [w, "extra"]))
+            text, at = text + filler(rng, 15).split(), c + size
+        tokens = ix.encode(fold(" ".join(text)))
+        if ix.shares([(tokens, k)])[0] >= ix.p.share:
+            accepted, kept = accepted + 1, kept + len(ix.enough(tokens, np.array([k])))
+    assert accepted > 500 and kept == accepted
+
+
 def test_trimmed_ends():
     a, x = np.arange(3, 33), 99
     # a changed, a dropped and an added word, with two words that match beyond it
