@@ -40,6 +40,16 @@ def test_patterns_without_an_insult(text):
     assert grammar().score(text) >= THRESHOLD
 
 
+@pytest.mark.parametrize(
+    "text",
+    ["you are an " + "i" * 100 + "diot", "you.are.a.useless.idiot.and.that.is.what.everyone.here.says.when.they.see.your.patches.come.in",
+     "now_and_then_and_always_and_for_ever_and_ever_and_ever_and_ever_and_ever_you_are_an_idiot", "you are an <a href=https://x.org/y>idiot</a>"],
+)
+def test_long_runs_and_glued_links(text):
+    assert grammar().score(text) >= THRESHOLD
+    assert grammar().score("see https://x.org/you/are/an/idiot and " + "a-b/" * 50) < THRESHOLD
+
+
 def test_no_pattern_is_left_out():
     """A clause scores what its best pattern gives, each tried on it alone and unfiltered."""
     g, rng = Grammar(), random.Random(6)

@@ -19,7 +19,12 @@ _MASKED = re.compile(r"^[^\W\d_]+[*#%&•×x.…_\-]{2,}[^\W\d_]*$|^[^\W\d_]+\*+
 _INNER = re.compile(r"(?<=\w)[*~|​]+(?=\w)")
 _REPEAT = re.compile(r"(.)\1+")
 _VOWELS = re.compile(r"[aeiouyäöüáéíóú0@*3146]+")
-_IDENT = re.compile(r"`[^`\s]*`|https?://\S+")
+_IDENT = re.compile(r"`[^`\s]*`")
+_LINK = re.compile(r"https?://[^\s\"'<>]+[\"'>]*|</[aA]>")
+_LETTERS = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)*")
+
+#: Longer runs without white space are looked up by their parts.
+LONGEST = 80
 _CJK = re.compile(r"[぀-ヿ㐀-鿿]")
 _END = re.compile(r"[.;:。\]]+[\"'”’)]*$|[!?]+[\"'”’)]*$")
 
@@ -135,7 +140,7 @@ class Grammar:
     def _look(self, chunk: str) -> tuple[str, dict[int, float], int, bool]:
         end = bool(_END.search(chunk))
         word = _EDGE.sub("", plain(chunk)).replace("’", "'")
-        if not word or len(word) > 80:
+        if not word or len(squeeze(word)) > LONGEST:
             return "", {}, 0, end
         if _SPELLED.match(word):
             word = re.sub(r"[\W_]+", "", word)
@@ -164,10 +169,17 @@ class Grammar:
             bits |= b
         return bare, classes, bits, end
 
+    def _parts(self, chunk: str) -> list[str]:
+        """A run without white space, or if it is too long for a word the words in it; its end keeps its mark."""
+        if len(chunk) <= LONGEST or len(squeeze(plain(chunk))) <= LONGEST:
+            return [chunk]
+        at = [m.span() for m in _LETTERS.finditer(chunk)]
+        return [chunk[i:j].rstrip("._-~") for (i, _), (j, _) in zip(at, at[1:])] + [chunk[i:] for i, _ in at[-1:]] or [chunk]
+
     def _clauses(self, text: str) -> Iterator[list[tuple[str, dict[int, float], int]]]:
         look = self.look
         for line in text.splitlines():
-            chunks = line.split()
+            chunks = [c for x in line.split() for c in self._parts(x)] if len(line) > LONGEST else line.split()
             clause: list[tuple[str, dict[int, float], int]] = []
             k, n = 0, len(chunks)
             while k < n:
@@ -282,8 +294,10 @@ class Grammar:
         if not text:
             return 0.0
         best = 0.0
-        if "`" in text or "://" in text:
+        if "`" in text:
             text = _IDENT.sub("", text)
+        if "://" in text:
+            text = _LINK.sub(" ", text)
         for clause in self._clauses(text):
             best = max(best, self.clause_score(self._phrased(clause)))
             if best >= 1:
