@@ -121,8 +121,11 @@ def test_top_n(spark):
     got = [(r["key"], r["file"], r["rank"]) for r in top_n(df, 2).orderBy("key", "rank").collect()]
     assert got == [("k", "Z", 1), ("k", "a", 2), ("z", "o", 1), ("z", "p", 2)]
     assert top_n(df.limit(0)).count() == 0
-    plan = top_n(df)._jdf.queryExecution().executedPlan().toString()
-    assert "row_number(), 5, Partial" in plan and "row_number(), 5, Final" in plan
+    # the group limit stands before the first shuffle, right on the scan's side, and after it
+    plan = top_n(df)._jdf.queryExecution().sparkPlan().toString() + top_n(df)._jdf.queryExecution().executedPlan().toString()
+    near = plan[plan.rindex("isFinalPlan=false") :]
+    below = near[near.index("Exchange hashpartitioning(key") :]
+    assert "row_number(), 10, Partial" in below and near.index("row_number(), 10, Final") < near.index("Exchange hashpartitioning(key")
 
 
 def test_top_n_of_a_hot_group(spark):
@@ -133,3 +136,76 @@ def test_top_n_of_a_hot_group(spark):
         f[r[1]] = max(f.get(r[1], -99), r[2])
     expect = {(k, f) for k, fs in want.items() for f, _ in sorted(fs.items(), key=lambda x: (-x[1], x[0].encode()))[:5]}
     assert {(r["key"], r["file"]) for r in top_n(df).collect()} == expect
+
+
+def best(df, n=5):
+    want = {}
+    for r in df.collect():
+        f = want.setdefault(r[0], {})
+        f[r[1]] = max(f.get(r[1], -99), r[2])
+    return sorted((k, f) for k, fs in want.items() for f, _ in sorted(fs.items(), key=lambda x: (-x[1], x[0].encode()))[:n])
+
+
+def test_top_n_of_a_hot_item(spark):
+    """One (group, item) holds a third of all rows, with the best score, so the best rows are its repeats."""
+    hot = "id % 3 = 0 AND id % 11 > 0"
+    df = spark.range(60000).selectExpr(
+        "IF(id % 3 = 0, 'hot', CAST(id % 50 AS string)) AS key", f"IF({hot}, 'f', CAST(id % 4000 AS string)) AS file", f"CAST(IF({hot}, 9, hash(id) % 7) AS double) AS rerank_scores"
+    )
+    for n, spare in ((5, 2), (5, 1), (3, 1), (1, 1)):
+        assert sorted((r["key"], r["file"]) for r in top_n(df, n, spare=spare).collect()) == best(df, n)
+
+
+def test_top_n_of_many_repeats(spark):
+    df = spark.range(6000).selectExpr("CAST(id % 30 AS string) AS key", "CAST((id DIV 30) % (1 + id % 30 % 9) AS string) AS file", "CAST(hash(id) % 50 AS double) AS rerank_scores")
+    assert sorted((r["key"], r["file"]) for r in top_n(df).collect()) == best(df)
+
+
+@pytest.mark.parametrize("base", [(1 << 53) - 2, (1 << 60) - 2, (1 << 62) - 3, -(1 << 62), -(1 << 53)])
+def test_large_numbers_are_processed_once(spark, base):
+    ns = sorted({base, base + 1, base + 2, base + 65535, base + 65536, base + 65537, base + 200_000})
+    df = spark.createDataFrame([(n,) for n in ns], "n bigint")
+    got = lg.intervals_of(df, "n")
+    assert sorted(map(tuple, got.collect())) == [(base, base + 2), (base + 65535, base + 65537), (base + 200_000, base + 200_000)]
+    assert lg.pending(df, "n", got).count() == 0 and lg.covered(df, "n", got).count() == len(ns)
+    near = spark.createDataFrame([(base - 1,), (base + 3,), (base + 65538,)], "n bigint")
+    assert lg.pending(near, "n", got).count() == 3
+
+
+def test_the_least_and_greatest_numbers(spark):
+    ends = [-(1 << 63), (1 << 63) - 1]
+    df = spark.createDataFrame([(n,) for n in ends * 2], "n bigint")
+    got = lg.intervals_of(df, "n")
+    assert sorted(map(tuple, got.collect())) == [(n, n) for n in ends]
+    assert lg.pending(df, "n", got).count() == 0
+
+
+def test_a_ledger_too_large_to_broadcast(spark, monkeypatch):
+    monkeypatch.setattr(lg, "BROADCAST_PIECES", 3)
+    df = spark.range(3000).selectExpr("id * 3 % 1000 * 100 AS n")
+    got = lg.intervals_of(df.where("n % 700 <> 0"), "n", block=1 << 10)
+    want = sorted(r[0] for r in df.where("n % 700 = 0").collect())
+    assert sorted(r[0] for r in lg.pending(df, "n", got, 1 << 10).collect()) == want
+    assert lg.covered(df, "n", got, 1 << 10).count() == 3000 - len(want)
+
+
+def test_borders_are_merged_by_levels(spark, monkeypatch):
+    monkeypatch.setattr(lg, "FAN", 4)
+    df = spark.range(1000).selectExpr("id + IF(id >= 600, 7, 0) AS n")
+    assert sorted(map(tuple, lg.intervals_of(df, "n", block=2).collect())) == [(0, 599), (607, 1006)]
+
+
+def test_rows_of_the_gaps(spark):
+    rows_ = lg.numbered(spark.range(500).selectExpr("CAST(id AS string) AS file_path", "id % 7 < 4 AS _done"), ["file_path"])
+    assert sorted(int(r["file_path"]) for r in lg.unprocessed(rows_, "_done").collect()) == [i for i in range(500) if i % 7 >= 4]
+    assert lg.unprocessed(rows_.where("_done"), "_done").count() == 0
+    assert lg.unprocessed(rows_.where("NOT _done"), "_done").count() == 500 - rows_.where("_done").count()
+    assert lg.unprocessed(rows_.limit(0), "_done").count() == 0
+
+
+def test_many_runs(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(lg, "SUMMARY", 3)
+    led = lg.Ledger(spark, f"file://{tmp_path}/ledger")
+    for n in range(1, 9):
+        led.run(spark.range(n).withColumnRenamed("id", "seq"), "seq", lambda df: df)
+        assert sorted(r[0] for r in led.output().collect()) == list(range(n))
