@@ -83,7 +83,7 @@ def test_recall_of_the_search_against_brute_force(items):
     for n, t in enumerate(texts):
         tokens = ix.encode(fold(t))
         for k, s in enumerate(ix.shares([(tokens, k) for k in range(len(ix.ids))])):
-            if s >= ix.p.share:
+            if s > 0:
                 truth.add((n, int(ix.ids[k])))
     assert len(truth) > 250 and len(got & truth) / len(truth) >= 0.98 and got <= truth
 
@@ -108,6 +108,81 @@ def test_recall_of_planted_thirds(items, pieces, least):
     assert sum((n, n % 30) in got for n in range(300)) / 300 >= least and all(i == n % 30 for n, i in got)
 
 
+JA = ["設定を変更した後は必ずサービスを再起動し、ログに警告が残っていないことを確認してください。", "古い鍵で署名された更新は、移行の期限を過ぎると配布の対象から外れます。担当者に連絡して新しい鍵を受け取ります。"]
+
+
+def altered_once(ws, at, kind):
+    return [*ws[:at], *([["other"], [], [ws[at], "extra"]][kind]), *ws[at + 1 :]]
+
+
+def test_short_items(spark):
+    """Items of 1 to 23 words, whole as they are and, from five words on, with one word altered, dropped or added."""
+    rng = random.Random(21)
+    short = {n: words(rng, n) for n in range(1, 24)}
+    it = spark.createDataFrame([(n, " ".join(w) + "?") for n, w in short.items()], "item_id int, text string")
+    docs, want = [], set()
+    for n, w in short.items():
+        for k, mine in enumerate([w, *([altered_once(w, at, kind) for at in range(n) for kind in range(3)] if n >= 5 else [])]):
+            docs.append((f"{n}-{k}", filler(rng, 30) + " " + " ".join(mine).upper() + "! " + filler(rng, 30)))
+            want.add((f"{n}-{k}", n))
+        docs.append((f"{n}-alone", " ".join(w)))
+        want.add((f"{n}-alone", n))
+        if n >= 3:
+            docs.append((f"{n}-part", " ".join(w[: n // 3])))  # too little of it
+    got = {(r[0], r[1]) for r in find_leaks(spark.createDataFrame(docs, "doc_id string, text string"), it).collect()}
+    assert got == want
+
+
+def test_items_of_runs_between_stock_sentences(spark):
+    """Own words only in runs shorter than any window."""
+    rng = random.Random(22)
+    stocks = [" ".join(words(rng, 9)) + ". " for _ in range(4)]
+    own = {n: [words(rng, 7) for _ in range(4)] for n in range(12)}
+    it = [(n, "".join(s + " ".join(w) + ". " for s, w in zip(stocks, ws))) for n, ws in own.items()]
+    docs = [(n, filler(rng, 40) + " " + " ".join(own[n][1]) + " " + filler(rng, 9) + " " + " ".join(own[n][3])) for n in own]
+    got = {(r[0], r[1]) for r in find_leaks(spark.createDataFrame(docs, "doc_id int, text string"), spark.createDataFrame(it, "item_id int, text string")).collect()}
+    assert got == {(n, n) for n in own}
+
+
+def test_scripts_without_spaces(spark):
+    it = spark.createDataFrame([(1, JA[0]), (2, JA[1]), (3, "如何在集群上重新启动所有失败的任务而不丢失数据"), (4, "คุณต้องรีสตาร์ทบริการหลังจากเปลี่ยนการตั้งค่าทุกครั้ง")], "item_id int, text string")
+    around = "この文書は手順をまとめたものです。詳しくは次の章を見てください。"
+    edited = JA[1].replace("期限", "締切").replace("配布", "配信")
+    docs = [("a", JA[0]), ("b", around + JA[1] + around), ("c", around + edited), ("d", around * 9), ("e", "前文" + "如何在集群上重新启动所有失败的任务而不丢失数据" + "后文"),
+            ("f", "หมายเหตุ คุณต้องรีสตาร์ทบริการหลังจากเปลี่ยนการตั้งค่าทุกครั้ง"), ("g", "設定を変更してください。"), ("h", "サービス、ログ、警告、再起動。")]
+    got = {(r[0], r[1]) for r in find_leaks(spark.createDataFrame(docs, "doc_id string, text string"), it).collect()}
+    assert got == {("a", 1), ("b", 2), ("c", 2), ("e", 3), ("f", 4)}
+
+
+@pytest.mark.parametrize("every, least", [(1000, 1.0), (16, 0.99), (8, 0.98)])
+def test_the_tables_find_what_alignment_accepts(every, least):
+    """By edit rate and item size: pairs found through the tables among those that hold a third, in one to three pieces."""
+    rng = random.Random(every)
+    its = [(k, " ".join(words(rng, n))) for k, n in enumerate([24, 30, 40, 47, 48, 70, 95, 96, 140, 287, 288, 400] * 4)]
+    ix, texts, truth = Index(its), [], []
+    for k, t in its * 6:
+        ws, at, text, pieces = t.split(), 0, [], rng.randrange(3) + 1
+        total = max(-(-len(ws) // 3), 8)
+        for n in range(pieces):
+            size = total // pieces + (n < total % pieces)
+            if size >= 6:
+                text += filler(rng, 20).split() + altered(ws[at : at + size], rng, every)
+                at += size + rng.randrange(3)
+        texts.append(" ".join(text))
+        truth.append(k)
+    tokens, row = [], []
+    for n, t in enumerate(texts):
+        mine = ix.encode(fold(t)).tolist()
+        tokens += mine + [0] * 48
+        row += [n] * len(mine) + [-1] * 48
+    found = ix.candidates(np.array(tokens), np.array(row), len(texts))
+    sure = [(n, k) for n, k in enumerate(truth) if ix.shares([(ix.encode(fold(texts[n])), k)])[0] > 0]
+    assert len(sure) > 100 and sum(found[n, k] for n, k in sure) / len(sure) >= least
+    # without the tables nothing is found
+    ix.tables, ix.grams, ix.sizes = {}, {}, []
+    assert not ix.candidates(np.array(tokens), np.array(row), len(texts)).any()
+
+
 def test_the_pair_count_drops_no_passage_that_alignment_accepts(items):
     rng, kept, accepted = random.Random(12), 0, 0
     ix = Index(items[:30])
@@ -119,7 +194,7 @@ def test_the_pair_count_drops_no_passage_that_alignment_accepts(items):
                 text += [w] if rng.random() > 1 / 8 else rng.choice(([], ["other"], [w, "extra"]))
             text, at = text + filler(rng, 15).split(), c + size
         tokens = ix.encode(fold(" ".join(text)))
-        if ix.shares([(tokens, k)])[0] >= ix.p.share:
+        if ix.shares([(tokens, k)])[0] > 0:
             accepted, kept = accepted + 1, kept + len(ix.enough(tokens, np.array([k])))
     assert accepted > 500 and kept == accepted
 

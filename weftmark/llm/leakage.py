@@ -19,15 +19,21 @@ from weftmark.llm.batches import slices
 
 _TAG = re.compile(r"<[/!]?[A-Za-z][^<>]{0,200}>")
 _ESCAPE = re.compile(r"\\u([0-9a-fA-F]{4})|\\[nrt](?![a-z])|%([0-9A-Fa-f]{2})")
-_RUN = re.compile(r"[^\W_]+")
+# Letters of scripts written without spaces (kana, Han, Thai, Lao, Khmer, Myanmar) are words of one letter each.
+_ALONE = "\u0e01-\u0eff\u1000-\u109f\u1780-\u17ff\u3041-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U0003134f"
+_RUN = re.compile(f"[{_ALONE}]|[^\\W_{_ALONE}]+")
+_LETTER = re.compile(f"[{_ALONE}]")
 _NOT_WORD = {i: " " for i in range(128) if not chr(i).isalnum()} | {i: chr(i).lower() for i in range(65, 91)}
 _STOP = re.compile(r"[.!?:;\n]+(?:\s|$)")
 
+#: Windows walked at once, which bounds the memory that a very long text takes.
+WALKED = 1 << 17
+
 #: Ids of a token outside the items' vocabulary, of the padding after a window, and of a masked item token.
 UNKNOWN, PAD, MASKED = 0, 1, 2
 
-#: Words of a text aligned at once, and bits of the places that item word pairs are hashed to.
-SEGMENT, PLACES = 8192, 22
+#: Words of a text aligned at once, bits of the places that a table's keys are hashed to, and an odd multiplier of keys.
+SEGMENT, PLACES, MIX = 8192, 20, np.int64(0x5851F42D4C957F2D)
 
 
 def _unescape(m: re.Match) -> str:
@@ -39,7 +45,7 @@ def _unescape(m: re.Match) -> str:
 def fold(text: str) -> list[str]:
     """The words of a text without case, punctuation, spacing, markup, escaping and Unicode forms.
 
-    A word is a run of letters and digits. Tags, character references and escapes are undone, format
+    A word is a run of letters and digits, or one letter of a script written without spaces. Tags, character references and escapes are undone, format
     characters (zero-width spaces, soft hyphens) and combining marks dropped, compatibility forms replaced.
     """
     if "<" in text:
@@ -57,6 +63,14 @@ def fold(text: str) -> list[str]:
     return text.translate(_NOT_WORD).split() if text.isascii() else _RUN.findall(text)
 
 
+def stock_sentences(texts: list[str], p: Params) -> frozenset[tuple[str, ...]]:
+    """The folded sentences, of three words or more, that more than `p.stock` of the distinct texts hold."""
+    distinct = {tuple(fold(t)): t for t in texts}
+    seen = Counter(s for t in distinct.values() for s in {tuple(fold(x)) for x in _STOP.split(t)} if len(s) > 2)
+    least = max(3, p.stock * len(distinct))
+    return frozenset(s for s, n in seen.items() if n > least)
+
+
 @dataclass(frozen=True)
 class Params:
     """All sizes are in words.
@@ -67,24 +81,52 @@ class Params:
     """
 
     share: float = 0.32
-    window: int = 12  #: of the LSH
-    edits: int = 3  #: edits a window may hold and still be looked up
-    steps: int = 30  #: of the CGK walk
+    windows: tuple[tuple[int, int], ...] = ((24, 6), (48, 8), (96, 12), (288, 24))  #: least own words of an item, its window
+    sample: tuple[tuple[int, int], ...] = ((6, 4), (8, 6), (12, 7), (24, 10))  #: steps that a table samples, by window
+    edits: int = 4  #: windows with one edit in so many words are looked up
     walks: int = 6  #: random walks
     tables: int = 6  #: samples of each walk
-    sample: int = 5  #: embedded positions in a sample
-    noise: float = 0.25  #: edits per word of a passage, at most
+    noise: float = 0.25  #: edits per word that the pair count before alignment leaves room for
     stock: float = 0.04
     span: int = 6  #: words of the shortest aligned span
+    least: int = 8  #: words of the shortest passage of an item that has more
+    whole: int = 12  #: an item of fewer words must be there whole, but for one word
     seed: int = 20240229
 
 
+class Table:
+    """Keys and their owners, sorted, behind a table of the places that keys are hashed to."""
+
+    def __init__(self, keys: np.ndarray, owners: np.ndarray) -> None:
+        both = np.unique(np.stack([keys, owners], 1), axis=0) if len(keys) else np.zeros((0, 2), np.int64)
+        self.keys, self.owners = both[:, 0].copy(), both[:, 1].copy()
+        self.held = np.zeros(1 << PLACES, bool)
+        self.held[self._place(self.keys)] = True
+
+    @staticmethod
+    def _place(keys: np.ndarray) -> np.ndarray:
+        return (keys.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - PLACES)).view(np.int64)
+
+    def look(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(positions in `keys`, owners) of every match."""
+        some = np.flatnonzero(self.held[self._place(keys)])
+        lo, hi = np.searchsorted(self.keys, keys[some], "left"), np.searchsorted(self.keys, keys[some], "right")
+        n = hi - lo
+        inner = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        return np.repeat(some, n), self.owners[np.repeat(lo, n) + inner]
+
+
 @dataclass
 class Index:
-    """Item windows in LSH tables; built once per worker from the items alone."""
+    """Items in LSH tables, by windows of a size that goes by the item's; built once per worker from the items alone.
+
+    Each run of an item's own words that holds its window is in the tables of that size. Items too small for any
+    window, and runs shorter than it, are looked up exactly, by the runs of words that no admitted edit breaks.
+    """
 
     items: list[tuple[int, str]]
     p: Params = field(default_factory=Params)
+    stock: frozenset[tuple[str, ...]] | None = None
 
     def __post_init__(self) -> None:
         p = self.p
@@ -97,138 +139,174 @@ class Index:
                 vocabulary.setdefault(x, len(vocabulary) + 3)
         self.vocabulary = vocabulary
         self.size = len(vocabulary) + 3
-        masks = self._stock([t or "" for _, t in self.items], [w for _, w in words])
+        if self.stock is None:
+            self.stock = stock_sentences([t or "" for _, t in self.items], p)
+        masks = self._masks([w for _, w in words])
         self.tokens = []
         for (_, w), mask in zip(words, masks):
             t = np.array([vocabulary[x] for x in w], np.int64)
             t[mask] = MASKED
             self.tokens.append(t)
         self.own = np.array([int((t != MASKED).sum()) for t in self.tokens], np.int64)
-        rng = np.random.default_rng(p.seed)
-        self.bits = rng.integers(0, 2, (p.walks, p.steps, self.size), np.uint8).astype(bool)
-        self.chosen = [[np.sort(rng.choice(p.steps, p.sample, replace=False)) for _ in range(p.tables)] for _ in range(p.walks)]
-        self.salt = rng.integers(1, 2**62, (p.walks, p.tables, p.steps), np.int64) | 1
-        # postings of word pairs, for the exact count filters
+        # letters of scripts without spaces say about half as much as words
+        self.spans = [p.span * (2 if sum(map(bool, map(_LETTER.match, w))) * 2 > len(w) else 1) for _, w in words]
+        self.need = np.array([self._needed(int(n)) for n in self.own], np.float64)
+        self.spans = [min(s, max(1, int(np.ceil(n)))) for s, n in zip(self.spans, self.need)]
+        # word pairs at each place of an item, for the bound before alignment
         pairs, owners = [], []
         for k, t in enumerate(self.tokens):
             ok = (t[:-1] != MASKED) & (t[1:] != MASKED)
-            u = np.unique(t[:-1][ok] * self.size + t[1:][ok])
-            pairs.append(u)
-            owners.append(np.full(len(u), k))
-        self.pairs_of = pairs
+            pairs.append(t[:-1][ok] * self.size + t[1:][ok])
+            owners.append(np.full(len(pairs[-1]), k))
+        self.pairs_of = [np.unique(u) for u in pairs]
         pairs_, owners_ = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (pairs, owners))
         order = np.argsort(pairs_, kind="stable")
         self.pairs, self.owners = pairs_[order], owners_[order]
-        self.known = np.unique(self.pairs)
-        self.held = np.zeros(1 << PLACES, np.int32)
-        self.held[self._place(self.known)] = 1
         self._tables()
 
-    def _stock(self, texts: list[str], words: list[list[str]]) -> list[np.ndarray]:
-        """Which words of each item belong to a sentence that many distinct items hold."""
-        distinct = {tuple(fold(t)): t for t in texts}
-        seen = Counter(s for t in distinct.values() for s in {tuple(fold(x)) for x in _STOP.split(t)} if len(s) > 2)
-        least = max(3, self.p.stock * len(distinct))
-        stock = {s for s, n in seen.items() if n > least}
-        lengths = sorted({len(s) for s in stock})
+    def _needed(self, own: int) -> float:
+        """Item words that spans must cover."""
+        p = self.p
+        if own < p.whole:
+            return float(own - (own > 4))
+        return max(p.share * own, min(p.least, own))
+
+    def _masks(self, words: list[list[str]]) -> list[np.ndarray]:
+        """Which words of each item belong to a stock sentence."""
+        lengths = sorted({len(s) for s in self.stock})
         masks = []
         for w in words:
             mask = np.zeros(len(w), bool)
             for n in lengths:
                 for i in range(len(w) - n + 1):
-                    if tuple(w[i : i + n]) in stock:
+                    if tuple(w[i : i + n]) in self.stock:
                         mask[i : i + n] = True
             masks.append(mask)
         return masks
 
-    def embed(self, tokens: np.ndarray, starts: np.ndarray) -> Iterator[np.ndarray]:
-        """The keys of the windows at `starts`, one array per table.
+    def _runs(self, tokens: np.ndarray) -> list[tuple[int, int]]:
+        """Start and end of the runs of own words."""
+        edge = np.flatnonzero(np.diff(np.concatenate([[0], (tokens != MASKED).astype(np.int8), [0]])))
+        return list(zip(edge[::2].tolist(), edge[1::2].tolist()))
+
+    def _gram(self, own: int, run: int) -> int:
+        """Words in a row that a run shares with a text, whatever edits are admitted."""
+        if own < 5:
+            return min(own, run)
+        return min(run, own // 2, 4 if own < self.p.whole else 3)
 
-        A walk goes over a window with one random bit per step and word saying whether to move on, and copies
-        the word it stands on at each step; an edit sets two walks apart only until they meet again, so the
-        Hamming distance of copies is bounded by the edits. A table samples some positions of the copy.
+    def _tables(self) -> None:
+        """Places of items in tables: CGK windows by size, and runs of words by length."""
+        p, rng = self.p, np.random.default_rng(self.p.seed)
+        flat = np.concatenate([x for t in self.tokens for x in (t, [MASKED])]).astype(np.int64) if self.tokens else np.zeros(0, np.int64)
+        at, windows, grams = 0, {}, {}
+        for k, t in enumerate(self.tokens):
+            size = max((w for least, w in p.windows if self.own[k] >= least), default=0)
+            for i, j in self._runs(t):
+                if size and j - i >= size:
+                    windows.setdefault(size, []).extend((at + s, k) for s in range(i, j - size + 1))
+                else:
+                    g = self._gram(int(self.own[k]), j - i)
+                    grams.setdefault(g, []).extend((at + s, k) for s in range(i, j - g + 1))
+            at += len(t) + 1
+        self.sizes = sorted(windows)
+        samples = dict(p.sample)
+        steps = 2 * max(self.sizes, default=0)
+        self.bits = rng.integers(0, 2, (p.walks, steps, self.size), np.uint8)
+        self.bits[..., PAD] = 1
+        self.value = rng.integers(-(2**62), 2**62, self.size, np.int64)
+        self.chosen = {
+            w: [[np.sort(rng.choice(2 * w, samples[w], replace=False)) for _ in range(p.tables)] for _ in range(p.walks)] for w in self.sizes
+        }
+        flat = self.padded(flat)
+        self.tables: dict[int, list[Table]] = {}
+        for w in self.sizes:
+            starts, owner = (np.array(x, np.int64) for x in zip(*windows[w]))
+            self.tables[w] = [Table(keys, owner) for keys in self.embed(flat, starts, w)]
+        self.grams: dict[int, Table] = {}
+        for g, places in grams.items():
+            starts, owner = (np.array(x, np.int64) for x in zip(*places))
+            self.grams[g] = Table(self.runs_of(flat, starts, g), owner)
+
+    def embed(self, tokens: np.ndarray, starts: np.ndarray, window: int) -> Iterator[np.ndarray]:
+        """The keys of the windows at `starts` of padded tokens, one array per table.
+
+        A walk goes over the words with one random bit per step and word saying whether to move on, and copies
+        the word it stands on at each step, twice as many steps as the window has words; an edit sets two walks
+        apart only until they meet again, so the Hamming distance of copies is bounded by the edits. A table
+        samples some positions of the copy.
         """
         p = self.p
-        padded = np.concatenate([tokens, np.full(p.window + 1, PAD)])
         for walk in range(p.walks):
-            at = np.zeros(len(starts), np.int64)
+            chosen = self.chosen[window][walk]
+            uses = [[t for t in range(p.tables) if step in chosen[t]] for step in range(2 * window)]
+            at = starts.astype(np.int32)
             keys = [np.zeros(len(starts), np.int64) for _ in range(p.tables)]
-            for step in range(p.steps):
-                now = np.where(at < p.window, padded[starts + np.minimum(at, p.window)], PAD)
-                for t in range(p.tables):
-                    if step in self.chosen[walk][t]:
-                        keys[t] += (now + 1) * self.salt[walk, t, step]
+            for step in range(2 * window):
+                now = tokens[at]
+                if uses[step]:
+                    value = self.value[now]
+                    for t in uses[step]:
+                        keys[t] *= MIX
+                        keys[t] += value
                 at += self.bits[walk, step][now]
             yield from keys
 
-    def _tables(self) -> None:
-        n = max(0, len(self.tokens))
-        flat = np.concatenate([np.concatenate([t, [MASKED]]) for t in self.tokens]) if n else np.zeros(0, np.int64)
-        owner = np.repeat(np.arange(n), [len(t) + 1 for t in self.tokens]) if n else np.zeros(0, np.int64)
-        starts = np.flatnonzero(self._whole(flat))
-        self.tables = []
-        for keys in self.embed(flat, starts):
-            order = np.argsort(keys, kind="stable")
-            self.tables.append((keys[order], owner[starts[order]]))
-
-    def _whole(self, flat: np.ndarray) -> np.ndarray:
-        """Windows without a masked word."""
-        bad = np.concatenate([[0], np.cumsum(flat == MASKED)])
-        end = np.minimum(np.arange(len(flat)) + self.p.window, len(flat))
-        return (bad[end] == bad[:-1]) & (np.arange(len(flat)) + self.p.window <= len(flat))
+    def runs_of(self, tokens: np.ndarray, starts: np.ndarray, n: int) -> np.ndarray:
+        """The keys of the runs of `n` words at `starts` of padded tokens."""
+        keys = np.zeros(len(starts), np.int64)
+        for i in range(n):
+            keys *= MIX
+            keys += self.value[tokens[starts + i]]
+        return keys
+
+    def padded(self, tokens: np.ndarray) -> np.ndarray:
+        """Tokens with as many paddings as a walk can run over their end."""
+        return np.concatenate([tokens, np.full(2 * max([2, *self.sizes]), PAD)]).astype(np.int32)
 
     def encode(self, words: list[str]) -> np.ndarray:
         get = self.vocabulary.get
         return np.array([get(w, UNKNOWN) for w in words], np.int64)
 
-    def _place(self, pair: np.ndarray) -> np.ndarray:
-        return (pair.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - PLACES)).astype(np.int64)
-
-    def windows(self, tokens: np.ndarray) -> np.ndarray:
-        """Starts of windows that can be within `edits` edits of an item window.
-
-        An edit changes at most two word pairs, so such a window keeps window - 1 - 2 edits pairs of items;
-        windows with fewer can't match, and none else is left out. Pairs are looked up by hash: one that is
-        taken for an item's can only let another window in.
-        """
-        p = self.p
-        if len(tokens) < 2 or not len(self.known):
-            return np.zeros(0, np.int64)
-        some = np.flatnonzero((tokens[:-1] > MASKED) & (tokens[1:] > MASKED))
-        hit = np.zeros(len(tokens) - 1, np.int32)
-        hit[some] = self.held[self._place(tokens[some] * self.size + tokens[some + 1])]
-        total = np.concatenate([[0], np.cumsum(hit)])
-        starts = np.arange(max(1, len(tokens) - p.window + 1))
-        ends = np.minimum(starts + p.window - 1, len(hit))
-        return starts[total[ends] - total[starts] >= p.window - 1 - 2 * p.edits]
-
-    def candidates(self, tokens: np.ndarray, starts: np.ndarray, text_of: np.ndarray, texts: int) -> np.ndarray:
-        """Which items (columns) any table finds for which texts (rows)."""
+    def candidates(self, tokens: np.ndarray, text_of: np.ndarray, texts: int) -> np.ndarray:
+        """Which items (columns) any table finds for which texts (rows); `text_of` is -1 between texts."""
         found = np.zeros((texts, len(self.ids)), bool)
-        for (keys, owners), mine in zip(self.tables, self.embed(tokens, starts)):
-            if not len(keys):
-                continue
-            lo, hi = np.searchsorted(keys, mine, "left"), np.searchsorted(keys, mine, "right")
-            n = hi - lo
-            rows = np.repeat(np.arange(len(mine)), n)
-            inner = np.arange(len(rows)) - np.repeat(np.cumsum(n) - n, n)
-            found[text_of[rows], owners[lo[rows] + inner]] = True
+
+        def mark(starts: np.ndarray, keys: np.ndarray, table: Table) -> None:
+            rows, owners = table.look(keys)
+            found[text_of[starts[rows]], owners] = True
+
+        unknown = np.concatenate([[0], np.cumsum(tokens == UNKNOWN)])
+        padded = self.padded(tokens)
+        for w in self.sizes:
+            # a window with more foreign words than edits is near no item's; texts may end inside a window
+            ends = np.minimum(np.arange(len(tokens)) + w, len(tokens))
+            starts = np.flatnonzero((text_of >= 0) & (unknown[ends] - unknown[:-1] <= -(-w // self.p.edits)))
+            for at in range(0, len(starts), WALKED):
+                some = starts[at : at + WALKED]
+                for table, keys in zip(self.tables[w], self.embed(padded, some, w)):
+                    mark(some, keys, table)
+        known = np.flatnonzero((text_of >= 0) & (tokens > MASKED)) if self.grams else []
+        for at in range(0, len(known), WALKED):
+            some = known[at : at + WALKED]
+            for g, table in self.grams.items():
+                mark(some, self.runs_of(padded, some, g), table)
         return found
 
     def enough(self, tokens: np.ndarray, items: np.ndarray) -> np.ndarray:
-        """Of `items`, those that share enough word pairs with the text to hold a passage.
+        """Of `items`, those that share enough word pairs with the text to hold what is needed.
 
-        A passage in one piece of the asked share with at most `noise` edits a word keeps the rest of its pairs. At
-        one edit in eight words that leaves room for pieces: as many as a quarter of the passage's words.
+        An edit takes at most two pairs, and each end of a piece one. What is left to count after one edit in
+        four words is no more than what a passage keeps that has one edit in eight and pieces of six words or more.
         """
         pair = np.sort(tokens[:-1] * self.size + tokens[1:])
-        pair = pair[np.concatenate([[True], pair[1:] != pair[:-1]])]
+        pair = pair[np.concatenate([[True], pair[1:] != pair[:-1]])] if len(pair) else pair
         lo, hi = np.searchsorted(self.pairs, pair, "left"), np.searchsorted(self.pairs, pair, "right")
         n = hi - lo
         at = np.repeat(lo, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
         shared = np.bincount(self.owners[at], minlength=len(self.ids))
-        passage = self.p.share * self.own[items]
-        return items[shared[items] >= passage - 1 - 2 * np.floor(self.p.noise * passage)]
+        need = self.need[items]
+        return items[shared[items] >= need - 1 - 2 * np.floor(self.p.noise * need)]
 
     def near(self, tokens: np.ndarray, item: int) -> np.ndarray:
         """The parts of a text around word pairs of the item; what lies between is cut to one unknown word.
@@ -237,6 +315,8 @@ class Index:
         nothing, so no alignment is lost.
         """
         own = self.pairs_of[item]
+        if not len(own):  # an item of single words
+            return tokens
         pair = tokens[:-1] * self.size + tokens[1:]
         hit = np.flatnonzero(own[np.minimum(np.searchsorted(own, pair), len(own) - 1)] == pair)
         keep = np.zeros(len(tokens) + 1, np.int64)
@@ -249,7 +329,7 @@ class Index:
         return np.insert(tokens[at], np.flatnonzero(first[at]), UNKNOWN)
 
     def shares(self, pairs: list[tuple[np.ndarray, int]], most: int = 1 << 21) -> list[float]:
-        """For (text, item) pairs, the share of the item's own words in spans aligned with the text.
+        """For (text, item) pairs, the share of the item's own words in spans aligned with the text, 0 if too small.
 
         Spans are found one after another by local alignment, each time without the item words of the spans
         before, and extended over trimmed ends, until the share asked for is reached or no span is left.
@@ -284,13 +364,14 @@ class Index:
                     best[x] = max(best.get(x, (0, 0, 0)), (found[0], *extended(mine[x], t, *found[1:])))
             todo = set()
             for x, (_, i0, i1) in best.items():
-                if i1 - i0 >= p.span:
+                if i1 - i0 >= self.spans[pairs[x][1]]:
                     covered[x] += int((mine[x][i0:i1] != MASKED).sum())
                     mine[x][i0:i1] = MASKED
                     left = int(np.isin(mine[x][mine[x] != MASKED], texts[x]).sum())
-                    if covered[x] < p.share * own[x] <= covered[x] + 2 * left:
+                    need = self.need[pairs[x][1]]
+                    if covered[x] < need <= covered[x] + 2 * left:
                         todo.add(x)
-        return (covered / own).tolist()
+        return np.where(covered >= self.need[[k for _, k in pairs]], covered / own, 0.0).tolist()
 
 
 def local_alignments(a: list[np.ndarray], b: list[np.ndarray], edit: int = 2) -> list[tuple[int, int, int]]:
@@ -381,18 +462,18 @@ def _spans(a: list[np.ndarray], b: list[np.ndarray], edit: int = 2) -> list[tupl
 _indexes: dict[bytes, Index] = {}
 
 
-def index(items: list[tuple[int, str]], p: Params) -> Index:
+def index(items: list[tuple[int, str]], p: Params, stock: frozenset[tuple[str, ...]]) -> Index:
     """One index per block of items and worker process."""
     name = hashlib.sha256(repr((items, p)).encode("utf-8", "surrogatepass")).digest()
     if name not in _indexes:
         _indexes.clear()
-        _indexes[name] = Index(items, p)
+        _indexes[name] = Index(items, p, stock)
     return _indexes[name]
 
 
 def leaks(texts: list[str | None], ix: Index) -> list[tuple[int, int, float]]:
     """(row, item id, share) of every leak in the texts."""
-    get, gap = ix.vocabulary.get, [UNKNOWN] * ix.p.window
+    get, gap = ix.vocabulary.get, [UNKNOWN] * (2 * max(ix.sizes, default=1))
     flat: list[int] = []
     begins, ends = [], []
     for t in texts:
@@ -400,22 +481,19 @@ def leaks(texts: list[str | None], ix: Index) -> list[tuple[int, int, float]]:
         if t:
             flat += [get(w, UNKNOWN) for w in fold(t)]
         ends.append(len(flat))
-        flat += gap  # no pair of words spans two texts
+        flat += gap  # no window spans two texts
     tokens = np.array(flat, np.int64)
-    starts = ix.windows(tokens)
-    row = np.searchsorted(begins, starts, "right") - 1
-    inside = starts < np.asarray(ends)[row]
-    starts, row = starts[inside], row[inside]
-    if not len(starts):
-        return []
-    found = ix.candidates(tokens, starts, row, len(texts))
+    text_of = np.full(len(tokens), -1)
+    for row, (i, j) in enumerate(zip(begins, ends)):
+        text_of[i:j] = row
+    found = ix.candidates(tokens, text_of, len(texts))
     pairs, row_of = [], []
     for row in np.flatnonzero(found.any(1)).tolist():
         mine = tokens[begins[row] : ends[row]]
         for item in ix.enough(mine, np.flatnonzero(found[row])).tolist():
             pairs.append((mine, item))
             row_of.append(row)
-    return [(r, int(ix.ids[k]), s) for r, (_, k), s in zip(row_of, pairs, ix.shares(pairs)) if s >= ix.p.share]
+    return [(r, int(ix.ids[k]), s) for r, (_, k), s in zip(row_of, pairs, ix.shares(pairs)) if s > 0]
 
 
 def find_leaks(
@@ -423,6 +501,9 @@ def find_leaks(
 ) -> DataFrame:
     """(doc_id, item_id, share) for every document that holds an item's text or passages of a third of it.
 
+    Of an item of fewer than 12 words outside stock sentences all must be there, but for one if it has five or more;
+    of any other a third and at least 8 words. In scripts without spaces a letter counts as a word.
+
     Items are a query set: they reach the workers in blocks of `block`, each block one pass over the
     documents, so neither a block's index nor anything else grows with either table. Null and empty texts
     and items have no leak; of an item listed twice both ids come out; each document row counts, and a
@@ -432,10 +513,12 @@ def find_leaks(
     kind = documents.schema["doc_id"].dataType.simpleString()
     schema = f"doc_id {kind}, item_id bigint, share double"
     slim = documents.select("doc_id", "text").where(F.length("text") > 0)
+    chosen = items.select(F.col("item_id").cast("bigint"), "text").where(F.length("text") > 0)
+    stock = _stock_of(chosen, params)
 
     def search(mine: list[tuple[int, str]]) -> DataFrame:
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            ix = index(mine, params)
+            ix = index(mine, params, stock)
             for pdf in batches:
                 ids, texts = pdf["doc_id"].tolist(), pdf["text"].tolist()
                 for lo, hi in slices(texts, rows):
@@ -445,11 +528,29 @@ def find_leaks(
         return slim.mapInPandas(run, schema)
 
     out, mine = None, []
-    chosen = items.select(F.col("item_id").cast("bigint"), "text").where(F.length("text") > 0).orderBy("item_id", "text")
-    for r in chosen.toLocalIterator():
+    for r in chosen.orderBy("item_id", "text").toLocalIterator():
         mine.append((r[0], r[1]))
         if len(mine) == block:
             out, mine = (search(mine) if out is None else out.unionByName(search(mine))), []
     if mine or out is None:
         out = search(mine) if out is None else out.unionByName(search(mine))
     return out.groupBy("doc_id", "item_id").agg(F.max("share").alias("share"))
+
+
+def _stock_of(items: DataFrame, p: Params) -> frozenset[tuple[str, ...]]:
+    """Stock sentences of all items, counted once, whatever block an item falls in.
+
+    A sentence held by more than `p.stock` of the items can be one of at most 1 / `p.stock` times an item's
+    sentences, so few come to the driver.
+    """
+
+    def split(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            out = [(" ".join(fold(t)), sorted({" ".join(w) for x in _STOP.split(t) if len(w := fold(x)) > 2})) for t in pdf["text"]]
+            yield pd.DataFrame(out, columns=["folded", "sentences"])
+
+    folded = items.select("text").mapInPandas(split, "folded string, sentences array<string>")
+    distinct = folded.groupBy("folded").agg(F.first("sentences").alias("sentences"))
+    n = distinct.count()
+    counts = distinct.select(F.explode("sentences").alias("s")).groupBy("s").agg(F.count("*").alias("n"))
+    return frozenset(tuple(r["s"].split(" ")) for r in counts.where(F.col("n") > max(3.0, p.stock * n)).collect())
