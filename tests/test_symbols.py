@@ -68,3 +68,13 @@ def test_rows(spark):
     assert rows(symbols_of(got).where("name = 'x'"), "id", "qualified_id") == [("a.py::x", "a.py::A.x"), ("a.py::x", "a.py::B.x")]
     assert rows(variables_of(got)) == [("a.py", ["V = 1", "W = 2"])]
     assert (language("X.Py"), language("a/b.JSX"), language("Makefile"), language("a.d/b")) == ("python", "javascript", None, None)
+
+
+def test_lines_end_at_cr_and_lf_only():
+    for odd in ("\x0b", "\x0c", "\x1c", "\x85", "\u2028", "\u2029"):
+        source = f"import os\nx = 'a{odd}b'\n" + ("\x0c\n" if odd == "\x0c" else "") + "def first(a):\n    return a\r\nclass C:\r\n    def m(self):\r\n        pass\n"
+        found = {s.label: s for s in extract(source, "python").symbols}
+        assert found["first"].signature == "def first(a):" and found["first"].code == "def first(a):\n    return a"
+        assert found["C.m"].signature == "def m(self):"
+        broken = {s.label: s for s in extract(source + "def (:\n", "python").symbols}
+        assert broken["first"].signature == "def first(a):"

@@ -7,6 +7,8 @@ import re
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
+from weftmark.functions.text import lines_of
+
 
 @dataclass(frozen=True)
 class Symbol:
@@ -37,7 +39,7 @@ def _python(source: str) -> Extraction:
         tree = ast.parse(source)
     except (SyntaxError, ValueError, RecursionError) as e:
         return Extraction(*_python_lines(source), f"{type(e).__name__}: {e}")
-    lines = source.splitlines(keepends=True)
+    lines = lines_of(source, ends=True)
     starts = [0]
     for line in lines:
         starts.append(starts[-1] + len(line.encode()))
@@ -83,7 +85,7 @@ _DEF = re.compile(r"^([ \t]*)(?:async[ \t]+)?(def|class)[ \t]+(\w+)", re.M)
 
 def _python_lines(source: str) -> tuple[list[Symbol], list[str]]:
     """Symbols by line and indent, for files that don't parse."""
-    lines = source.splitlines(keepends=True)
+    lines = lines_of(source, ends=True)
     first, functions, stack = [], [], []
     for i, line in enumerate(lines):
         m = _DEF.match(line)

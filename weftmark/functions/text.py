@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -33,3 +35,12 @@ def digest(c: Column) -> Column:
 
 def basename(c: Column) -> Column:
     return F.element_at(F.split(c, "/"), -1)
+
+
+_LINE = re.compile(r"[^\r\n]*(?:\r\n|\r|\n)|[^\r\n]+")
+
+
+def lines_of(text: str, ends: bool = False) -> list[str]:
+    """The lines of a text, which end at CR, LF or both and at nothing else, unlike those of `str.splitlines`."""
+    lines = _LINE.findall(text)
+    return lines if ends else [x.rstrip("\r\n") for x in lines]

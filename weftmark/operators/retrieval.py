@@ -92,13 +92,13 @@ def request_batches(pairs: DataFrame, key: Sequence[str], file: str, size: int =
 
 
 def rerank_query(heading: Column, doc_file: Column, content: Column) -> Column:
-    """The text that a scoring model gets for a section."""
+    """The text that a scoring model gets for a section. Its wording and layout are fixed values."""
     head = F.concat(F.lit("Search for code implementing: "), heading, F.lit(" (in "), basename(doc_file), F.lit(")"))
     return F.when(F.coalesce(content, F.lit("")) == "", head).otherwise(F.concat(head, F.lit("\n\nContext:\n"), content))
 
 
 def rerank_document(file: Column, signatures: Column, variables: Column, max_signatures: int = 100, max_variables: int = 30) -> Column:
-    """The text that a scoring model gets for a file."""
+    """The text that a scoring model gets for a file. Its layout is a fixed value."""
 
     def block(title: str, items: Column, n: int) -> Column:
         some = F.slice(F.coalesce(items, F.array().cast("array<string>")), 1, n)

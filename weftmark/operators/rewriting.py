@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from weftmark.functions.text import strip
+from weftmark.functions.text import lines_of, strip
 
 #: What stands for the diff of a file without one.
 NO_DIFF = "[No diff - files may be new or untracked]"
@@ -66,7 +66,7 @@ def unified_diffs(changes: DataFrame, base: DataFrame, head: DataFrame, context:
             out = []
             for path, name, a, b in pdf.itertuples(index=False, name=None):
                 lines = difflib.unified_diff(
-                    (a or "").splitlines(), (b or "").splitlines(),
+                    lines_of(a or ""), lines_of(b or ""),
                     f"a/{name}" if a is not None else "/dev/null", f"b/{path}" if b is not None else "/dev/null", lineterm="", n=context,
                 )
                 out.append((path, "\n".join(lines) or NO_DIFF))
@@ -135,6 +135,7 @@ def changed(old: Column, new: Column) -> Column:
 
 
 def reason(action: Column, change_type: Column) -> Column:
+    # The reasons that reports of a run give.
     return (
         F.when(action != "rewrite", "No changes needed")
         .when(change_type == "deleted", "File deleted — removed references from section")
