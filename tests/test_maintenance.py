@@ -107,9 +107,9 @@ def test_contexts_and_instructions(spark, stored):
     sigs = spark.createDataFrame([("src/api.py", ["def a()", "def b()", "def c()"]), ("src/util.py", [])], "file_path string, signatures array<string>")
     assert rows(rw.code_context(hits, sigs, 2)) == [("d.md", "API", "[File: src/api.py]\n- def a()\n- def b()")]
     told = {r["heading"]: r["t"] for r in ch.section_groups(hits).select("heading", rw.instructions(F.col("changes")).alias("t")).collect()}
-    assert "src/util.py is no longer part of the code." in told["API"] and told["Models"].startswith("src/models.py is now called src/new.py.")
+    assert "src/util.py is no longer part of the code." in told["API"] and told["Models"].startswith("src/models.py is now called src/new.py. ")
     prompt = spark.range(1).select(rw.rewrite_prompt(F.lit("H"), F.lit("T {heading}"), F.lit("D"), F.lit(None), F.lit("E")).alias("p")).first()[0]
-    assert "'H'" in prompt and "T {heading}" in prompt and "### Code Changes (Git Diff)\nD" in prompt and "### Required Changes\nE" in prompt and "Current Code" not in prompt
+    assert '"H"' in prompt and "T {heading}" in prompt and "### Code Changes (Git Diff)\nD" in prompt and "### Required Changes\nE" in prompt and "Current Code" not in prompt
 
 
 def test_sync_results(spark, stored):
