@@ -183,7 +183,7 @@ def test_the_tables_find_what_alignment_accepts(every, least):
     assert not ix.candidates(np.array(tokens), np.array(row), len(texts)).any()
 
 
-def test_the_pair_count_drops_no_passage_that_alignment_accepts(items):
+def test_the_count_of_runs_drops_no_passage_that_alignment_accepts(items):
     rng, kept, accepted = random.Random(12), 0, 0
     ix = Index(items[:30])
     for n in range(1500):

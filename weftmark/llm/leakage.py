@@ -27,7 +27,7 @@ _NOT_WORD = {i: " " for i in range(128) if not chr(i).isalnum()} | {i: chr(i).lo
 _STOP = re.compile(r"[.!?:;\n]+(?:\s|$)")
 
 #: Windows walked at once, which bounds the memory that a very long text takes.
-WALKED = 1 << 17
+WALKED = 1 << 16
 
 #: Ids of a token outside the items' vocabulary, of the padding after a window, and of a masked item token.
 UNKNOWN, PAD, MASKED = 0, 1, 2
@@ -82,11 +82,11 @@ class Params:
 
     share: float = 0.32
     windows: tuple[tuple[int, int], ...] = ((24, 6), (48, 8), (96, 12), (288, 24))  #: least own words of an item, its window
-    sample: tuple[tuple[int, int], ...] = ((6, 4), (8, 6), (12, 7), (24, 10))  #: steps that a table samples, by window
+    sample: tuple[tuple[int, int], ...] = ((6, 4), (8, 6), (12, 8), (24, 10))  #: steps that a table samples, by window
     edits: int = 4  #: windows with one edit in so many words are looked up
-    walks: int = 6  #: random walks
-    tables: int = 6  #: samples of each walk
-    noise: float = 0.25  #: edits per word that the pair count before alignment leaves room for
+    walks: int = 4  #: random walks
+    tables: int = 5  #: samples of each walk
+    kept: float = 0.5  #: share of a passage's words in runs of three that alignment is tried for
     stock: float = 0.04
     span: int = 6  #: words of the shortest aligned span
     least: int = 8  #: words of the shortest passage of an item that has more
@@ -152,16 +152,22 @@ class Index:
         self.spans = [p.span * (2 if sum(map(bool, map(_LETTER.match, w))) * 2 > len(w) else 1) for _, w in words]
         self.need = np.array([self._needed(int(n)) for n in self.own], np.float64)
         self.spans = [min(s, max(1, int(np.ceil(n)))) for s, n in zip(self.spans, self.need)]
-        # word pairs at each place of an item, for the bound before alignment
-        pairs, owners = [], []
-        for k, t in enumerate(self.tokens):
+        # runs of own words, of two for small items
+        self.runs = []
+        for t, own in zip(self.tokens, self.own):
             ok = (t[:-1] != MASKED) & (t[1:] != MASKED)
-            pairs.append(t[:-1][ok] * self.size + t[1:][ok])
-            owners.append(np.full(len(pairs[-1]), k))
-        self.pairs_of = [np.unique(u) for u in pairs]
-        pairs_, owners_ = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (pairs, owners))
-        order = np.argsort(pairs_, kind="stable")
-        self.pairs, self.owners = pairs_[order], owners_[order]
+            pair = t[:-1] * self.size + t[1:]
+            if own < p.windows[0][0]:
+                self.runs.append(np.unique(pair[ok]))
+            else:
+                self.runs.append(np.unique(pair[:-1][ok[:-1] & ok[1:]] * self.size + t[2:][ok[:-1] & ok[1:]]))
+        # runs of three own words at each place of all items, for the bound before alignment
+        flat = np.concatenate([x for t in self.tokens for x in (t, [MASKED, MASKED])]).astype(np.int64) if self.tokens else np.zeros(0, np.int64)
+        self.begin = np.cumsum([0, *(len(t) + 2 for t in self.tokens)])
+        triples = self._triples(flat)
+        ok = np.flatnonzero((flat[:-2] != MASKED) & (flat[1:-1] != MASKED) & (flat[2:] != MASKED))
+        self.places = ok[np.argsort(triples[ok], kind="stable")]
+        self.triples = triples[self.places]
         self._tables()
 
     def _needed(self, own: int) -> float:
@@ -216,41 +222,41 @@ class Index:
         self.bits[..., PAD] = 1
         self.value = rng.integers(-(2**62), 2**62, self.size, np.int64)
         self.chosen = {
-            w: [[np.sort(rng.choice(2 * w, samples[w], replace=False)) for _ in range(p.tables)] for _ in range(p.walks)] for w in self.sizes
+            w: [[set(rng.choice(2 * w, samples[w], replace=False).tolist()) for _ in range(p.tables)] for _ in range(p.walks)] for w in self.sizes
         }
         flat = self.padded(flat)
         self.tables: dict[int, list[Table]] = {}
         for w in self.sizes:
             starts, owner = (np.array(x, np.int64) for x in zip(*windows[w]))
-            self.tables[w] = [Table(keys, owner) for keys in self.embed(flat, starts, w)]
+            self.tables[w] = [Table(keys, owner) for _, _, keys in self.embed(flat, starts, [w])]
         self.grams: dict[int, Table] = {}
         for g, places in grams.items():
             starts, owner = (np.array(x, np.int64) for x in zip(*places))
             self.grams[g] = Table(self.runs_of(flat, starts, g), owner)
 
-    def embed(self, tokens: np.ndarray, starts: np.ndarray, window: int) -> Iterator[np.ndarray]:
-        """The keys of the windows at `starts` of padded tokens, one array per table.
+    def embed(self, tokens: np.ndarray, starts: np.ndarray, sizes: list[int]) -> Iterator[tuple[int, int, np.ndarray]]:
+        """(size, table, keys) of the windows of `sizes` at `starts` of padded tokens.
 
         A walk goes over the words with one random bit per step and word saying whether to move on, and copies
         the word it stands on at each step, twice as many steps as the window has words; an edit sets two walks
         apart only until they meet again, so the Hamming distance of copies is bounded by the edits. A table
-        samples some positions of the copy.
+        samples some positions of the copy. The walk of a small window is the beginning of that of a large one.
         """
         p = self.p
         for walk in range(p.walks):
-            chosen = self.chosen[window][walk]
-            uses = [[t for t in range(p.tables) if step in chosen[t]] for step in range(2 * window)]
             at = starts.astype(np.int32)
-            keys = [np.zeros(len(starts), np.int64) for _ in range(p.tables)]
-            for step in range(2 * window):
+            keys = {(w, t): np.zeros(len(starts), np.int64) for w in sizes for t in range(p.tables)}
+            for step in range(2 * max(sizes)):
                 now = tokens[at]
-                if uses[step]:
+                uses = [(w, t) for w in sizes for t in range(p.tables) if step in self.chosen[w][walk][t]]
+                if uses:
                     value = self.value[now]
-                    for t in uses[step]:
-                        keys[t] *= MIX
-                        keys[t] += value
+                    for x in uses:
+                        keys[x] *= MIX
+                        keys[x] += value
                 at += self.bits[walk, step][now]
-            yield from keys
+            for (w, t), k in keys.items():
+                yield w, walk * p.tables + t, k
 
     def runs_of(self, tokens: np.ndarray, starts: np.ndarray, n: int) -> np.ndarray:
         """The keys of the runs of `n` words at `starts` of padded tokens."""
@@ -278,14 +284,16 @@ class Index:
 
         unknown = np.concatenate([[0], np.cumsum(tokens == UNKNOWN)])
         padded = self.padded(tokens)
+        # a window with more foreign words than edits is near no item's; texts may end inside a window
+        near = np.zeros(len(tokens), bool)
         for w in self.sizes:
-            # a window with more foreign words than edits is near no item's; texts may end inside a window
             ends = np.minimum(np.arange(len(tokens)) + w, len(tokens))
-            starts = np.flatnonzero((text_of >= 0) & (unknown[ends] - unknown[:-1] <= -(-w // self.p.edits)))
-            for at in range(0, len(starts), WALKED):
-                some = starts[at : at + WALKED]
-                for table, keys in zip(self.tables[w], self.embed(padded, some, w)):
-                    mark(some, keys, table)
+            near |= unknown[ends] - unknown[:-1] <= -(-w // self.p.edits)
+        starts = np.flatnonzero(near & (text_of >= 0))
+        for at in range(0, len(starts), WALKED):
+            some = starts[at : at + WALKED]
+            for w, t, keys in self.embed(padded, some, self.sizes):
+                mark(some, keys, self.tables[w][t])
         known = np.flatnonzero((text_of >= 0) & (tokens > MASKED)) if self.grams else []
         for at in range(0, len(known), WALKED):
             some = known[at : at + WALKED]
@@ -293,42 +301,53 @@ class Index:
                 mark(some, self.runs_of(padded, some, g), table)
         return found
 
-    def enough(self, tokens: np.ndarray, items: np.ndarray) -> np.ndarray:
-        """Of `items`, those that share enough word pairs with the text to hold what is needed.
+    def enough(self, tokens: np.ndarray, items: np.ndarray) -> list[tuple[int, np.ndarray]]:
+        """Of `items`, those that share enough runs of three words with the text to hold what is needed, with `held`.
 
-        An edit takes at most two pairs, and each end of a piece one. What is left to count after one edit in
-        four words is no more than what a passage keeps that has one edit in eight and pieces of six words or more.
+        An edit takes at most three words from such runs, itself and a run of two beside it, so that a passage with
+        one edit in eight words keeps five in eight of its words in them; `kept` leaves room for pieces.
+        Small items, which a single edit can leave without such a run, all pass.
         """
-        pair = np.sort(tokens[:-1] * self.size + tokens[1:])
-        pair = pair[np.concatenate([[True], pair[1:] != pair[:-1]])] if len(pair) else pair
-        lo, hi = np.searchsorted(self.pairs, pair, "left"), np.searchsorted(self.pairs, pair, "right")
-        n = hi - lo
-        at = np.repeat(lo, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-        shared = np.bincount(self.owners[at], minlength=len(self.ids))
-        need = self.need[items]
-        return items[shared[items] >= need - 1 - 2 * np.floor(self.p.noise * need)]
+        return [(k, at) for k, at in zip(items.tolist(), self.held(tokens, items)) if len(at) >= self.p.kept * self.need[k]]
+
+    def _triples(self, tokens: np.ndarray) -> np.ndarray:
+        return (tokens[:-2] * self.size + tokens[1:-1]) * self.size + tokens[2:]
 
     def near(self, tokens: np.ndarray, item: int) -> np.ndarray:
-        """The parts of a text around word pairs of the item; what lies between is cut to one unknown word.
+        """The parts of a text around runs of the item's words; what lies between is cut to one unknown word.
 
-        A span of the shortest length without such a pair has an edit at least every other word and scores
-        nothing, so no alignment is lost.
+        The runs are of three words, or of two for a small item, as in `enough`; what a passage has beyond them is
+        parted from them by edits, so a span's length to either side holds it.
         """
-        own = self.pairs_of[item]
-        if not len(own):  # an item of single words
+        n = 2 if self.own[item] < self.p.windows[0][0] else 3
+        own = self.runs[item]
+        if not len(own) or len(tokens) < n:  # an item of single words
             return tokens
-        pair = tokens[:-1] * self.size + tokens[1:]
-        hit = np.flatnonzero(own[np.minimum(np.searchsorted(own, pair), len(own) - 1)] == pair)
+        run = self._triples(tokens) if n == 3 else tokens[:-1] * self.size + tokens[1:]
+        hit = np.flatnonzero(own[np.minimum(np.searchsorted(own, run), len(own) - 1)] == run)
         keep = np.zeros(len(tokens) + 1, np.int64)
-        reach = self.p.span
+        reach = self.p.span + n
         np.add.at(keep, np.maximum(hit - reach, 0), 1)
-        np.add.at(keep, np.minimum(hit + 2 + reach, len(tokens)), -1)
+        np.add.at(keep, np.minimum(hit + n + reach, len(tokens)), -1)
         inside = np.cumsum(keep[:-1]) > 0
         first = inside & ~np.concatenate([[False], inside[:-1]])
         at = np.flatnonzero(inside)
         return np.insert(tokens[at], np.flatnonzero(first[at]), UNKNOWN)
 
-    def shares(self, pairs: list[tuple[np.ndarray, int]], most: int = 1 << 21) -> list[float]:
+    def held(self, tokens: np.ndarray, items: np.ndarray) -> list[np.ndarray]:
+        """For each item the places of its own words that lie in runs of three that the text has, or all if it is small."""
+        key = np.unique(self._triples(tokens))
+        lo, hi = np.searchsorted(self.triples, key, "left"), np.searchsorted(self.triples, key, "right")
+        n = hi - lo
+        at = self.places[np.repeat(lo, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)]
+        at = np.unique((at[:, None] + np.arange(3)).ravel())
+        cut = np.searchsorted(at, np.concatenate([self.begin[items], self.begin[items + 1]]))
+        return [
+            np.arange(len(self.tokens[k])) if self.own[k] < self.p.windows[0][0] else at[i:j] - self.begin[k]
+            for k, i, j in zip(items.tolist(), cut[: len(items)].tolist(), cut[len(items) :].tolist())
+        ]
+
+    def shares(self, pairs: list[tuple[np.ndarray, int]], held: list[np.ndarray] | None = None, most: int = 1 << 21) -> list[float]:
         """For (text, item) pairs, the share of the item's own words in spans aligned with the text, 0 if too small.
 
         Spans are found one after another by local alignment, each time without the item words of the spans
@@ -336,6 +355,7 @@ class Index:
         """
         p = self.p
         texts = [self.near(t, k) for t, k in pairs]
+        held = held or [self.held(t, np.array([k]))[0] for t, k in pairs]
         mine = [self.tokens[k].copy() for _, k in pairs]
         covered, own = np.zeros(len(pairs)), np.maximum(1, self.own[[k for _, k in pairs]])
         # a long text is aligned in segments that overlap by more than any span, so none is lost
@@ -367,9 +387,9 @@ class Index:
                 if i1 - i0 >= self.spans[pairs[x][1]]:
                     covered[x] += int((mine[x][i0:i1] != MASKED).sum())
                     mine[x][i0:i1] = MASKED
-                    left = int(np.isin(mine[x][mine[x] != MASKED], texts[x]).sum())
                     need = self.need[pairs[x][1]]
-                    if covered[x] < need <= covered[x] + 2 * left:
+                    left = (mine[x][held[x]] != MASKED).sum() / p.kept
+                    if covered[x] < need <= covered[x] + left:
                         todo.add(x)
         return np.where(covered >= self.need[[k for _, k in pairs]], covered / own, 0.0).tolist()
 
@@ -487,13 +507,14 @@ def leaks(texts: list[str | None], ix: Index) -> list[tuple[int, int, float]]:
     for row, (i, j) in enumerate(zip(begins, ends)):
         text_of[i:j] = row
     found = ix.candidates(tokens, text_of, len(texts))
-    pairs, row_of = [], []
+    pairs, held, row_of = [], [], []
     for row in np.flatnonzero(found.any(1)).tolist():
         mine = tokens[begins[row] : ends[row]]
-        for item in ix.enough(mine, np.flatnonzero(found[row])).tolist():
+        for item, at in ix.enough(mine, np.flatnonzero(found[row])):
             pairs.append((mine, item))
+            held.append(at)
             row_of.append(row)
-    return [(r, int(ix.ids[k]), s) for r, (_, k), s in zip(row_of, pairs, ix.shares(pairs)) if s > 0]
+    return [(r, int(ix.ids[k]), s) for r, (_, k), s in zip(row_of, pairs, ix.shares(pairs, held)) if s > 0]
 
 
 def find_leaks(
