@@ -46,18 +46,26 @@ def test_pack_leaves_little_unused():
     assert got == pack(sizes, 2000)
 
 
-def test_the_rest_is_differenced_until_every_window_fits(monkeypatch):
-    """Without the packing by best fit, the window count rises and nothing but differencing places items."""
+def test_nothing_but_differencing_places_items(monkeypatch):
+    """The window count rises until every window fits; each window is one that differencing made."""
     import weftmark.llm.packing as m
 
-    sizes, seen = [11, 12, 9, 9, 18, 8, 3, 8, 10, 1, 6], []
-    assert len(pack(sizes, 20)) == 5 == lower_bound(sizes, 20)
-    monkeypatch.setattr(m, "best_fit", lambda pool, sizes, capacity: seen.append(pool) or [[i] for i in pool])
+    made, counts, plain = set(), [], m.differencing
+
+    def noted(sizes, k):
+        got = plain(sizes, k)
+        made.update(tuple(sorted(sizes[i] for i in w)) for w in got)
+        counts.append(k)
+        return got
+
+    monkeypatch.setattr(m, "differencing", noted)
     rng = random.Random(3)
     sizes = [min(2000, max(1, int(rng.lognormvariate(6.2, 0.8)))) for _ in range(300)]
     got = pack(sizes, 2000)
-    assert seen and sorted(i for w in got for i in w) == list(range(300)) and max(sum(sizes[i] for i in w) for w in got) <= 2000
-    assert len(got) <= 1.1 * lower_bound(sizes, 2000)
+    assert sorted(i for w in got for i in w) == list(range(300)) and max(sum(sizes[i] for i in w) for w in got) <= 2000
+    assert {tuple(sorted(sizes[i] for i in w)) for w in got} <= made
+    assert any(b > a for a, b in zip(counts, counts[1:]))  # the count rose
+    assert len(got) <= 1.05 * lower_bound(sizes, 2000)
 
 
 def test_differencing_gives_near_equal_windows():

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import heapq
-from bisect import bisect_left, insort
+from bisect import insort
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -80,33 +80,18 @@ def lower_bound(sizes: list[int], capacity: int) -> int:
     return best
 
 
-def best_fit(pool: list[int], sizes: list[int], capacity: int) -> list[list[int]]:
-    """Windows of at most `capacity`: each item of `pool` in turn goes into the fullest it fits, else a new one."""
-    gaps, windows = [], []
-    for i in pool:
-        at = bisect_left(gaps, (sizes[i], -1))
-        gap, j = gaps.pop(at) if at < len(gaps) else (capacity, len(windows))
-        if j == len(windows):
-            windows.append([])
-        windows[j].append(i)
-        insort(gaps, (gap - sizes[i], j))
-    return windows
-
-
 def pack(sizes: list[int], capacity: int) -> list[list[int]]:
     """Windows of at most `capacity`, as few as found, each item of `sizes` (all <= capacity) in one of them.
 
     The items are differenced into as many windows as any packing needs. Windows within capacity whose unused
     space is small are closed, as long as closing them doesn't raise the number that the rest needs; the rest,
     of windows over capacity or with much unused space, is differenced anew. The unused space allowed doubles
-    whenever no window can be closed. When even half a container may stay unused, the window count rises by
-    one and the rest is differenced anew, until every window fits.
-
-    Where the count has to rise, the whole rest is also packed by best fit, largest first, into new windows,
-    and that packing is taken if it has fewer windows. Differencing ends once it can't have as few.
+    whenever no window can be closed. When a sixteenth of a container isn't enough either, capacity is exceeded
+    whatever is closed: the window count rises by one and the rest is differenced anew, until every window fits.
+    Every item gets its window from differencing.
     """
     pool, closed, slack = sorted(range(len(sizes)), key=lambda i: (-sizes[i], i)), [], max(1, capacity // 400)
-    need, other = lower_bound([sizes[i] for i in pool], capacity), None
+    need = lower_bound([sizes[i] for i in pool], capacity)
     while pool:
         windows = [[pool[i] for i in w] for w in differencing([sizes[i] for i in pool], need) if w]
         sums = [sum(sizes[i] for i in w) for w in windows]
@@ -118,15 +103,11 @@ def pack(sizes: list[int], capacity: int) -> list[list[int]]:
         rest = [i for i in pool if i not in gone]
         if good and lower_bound([sizes[i] for i in rest], capacity) <= need - len(good):
             closed, pool, need = closed + good, rest, need - len(good)
-        elif slack <= capacity // 4:
+        elif slack <= capacity // 16:
             slack *= 2
         else:
-            if other is None:
-                other = closed + best_fit(pool, sizes, capacity)
             need, slack = need + 1, max(1, capacity // 400)
-            if len(closed) + need > len(other):
-                return other
-    return closed if other is None or len(closed) <= len(other) else other
+    return closed
 
 
 def _pack_batches(capacity: int, shard: int):
