@@ -2,10 +2,12 @@ import random
 from datetime import datetime
 
 import numpy as np
+import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from tests.conftest import DATA
-from weftmark.llm.handwritten import fit_svm, parts, score_files, weak_label
+from weftmark.llm.handwritten import body_of, evidence, fit_svm, parts, score_files, train
 
 SCHEMA = "id string, name string, signature string, code string, file_path string, scanned_at timestamp, score double, body string"
 NAMES = "load save find merge split order price stock cart user token page index cache route batch queue".split()
@@ -95,30 +97,78 @@ def test_last_scan_counts(spark, files):
     assert score_files(df)[0].where("file_path = 'repo3/src/twice.py'").select("score").first()[0] < 0
 
 
-def test_parts_mask_headers_and_ignore_layout():
-    h, masked, body = parts("# Code generated by x. DO NOT EDIT.\r\n\r\nA = 1\r\n  # note\r\n")
-    assert h == "# Code generated by x. DO NOT EDIT.\n# note" and "generated" not in masked and body == "A=1"
+def test_parts_mask_headers():
+    h, masked = parts("# Code generated by x. DO NOT EDIT.\r\n\r\nA = 1\r\n  # note\r\n")
+    assert h == "# Code generated by x. DO NOT EDIT.\n# note" and "generated" not in masked
     assert parts("/** prose */\nx")[0] == "" and parts('"""\nDo not modify! Built from y.\n"""\nA = 1')[1] == "A = 1"
-    assert parts("")[2] == ""
+    assert parts("") == ("", "")
+
+
+def test_bodies_ignore_layout_and_comments(spark):
+    same = ["# (c) 2019 x\nA = 1\n  B()\n", "A = 1\r\n\r\n\tB()", "A=1 B()  ", "// note\rA = 1\rB()\r"]
+    other = ["A = 2\nB()", "# only a comment", "# only another", None]
+    df = spark.createDataFrame([(f"r/{i}", c) for i, c in enumerate(same + other)], "p string, c string")
+    got = [r[0] for r in df.orderBy("p").select(body_of(F.col("c"), F.col("p"))).collect()]
+    assert len(set(got[:4])) == 1 and len(set(got)) == 5
 
 
 @pytest.mark.parametrize(
     "path, header, masked, want",
     [
-        ("r/a.py", "# @generated by x", "A = 1", 1), ("r/node_modules/a.js", "", "return x", 1), ("r/a.min.js", "", "x", 1), ("r/a.js", "", "var a=1;" * 200, 1),
-        ("r/a.py", "# Was generated once by x; maintained by hand", "def f():\n    return self.x\n" * 9, -1), ("r/a.py", "", "", 0), ("r/vendor_portal/a.py", "", "def f():\n    return 1\n" * 9, -1),
+        ("r/a.py", "# @generated by x", "A = 1", "said"), ("r/node_modules/a.js", "", "return x", "placed"), ("r/a.min.js", "", "x", "placed"), ("r/a.js", "", "var a=1;" * 200, "laid"),
+        ("r/a.py", "# Was generated once by x; maintained by hand", "def f():\n    return self.x\n" * 9, "written"), ("r/a.py", "", "", ""), ("r/vendor_portal/a.py", "", "def f():\n    return 1\n" * 9, "written"),
     ],
 )
-def test_weak_labels(path, header, masked, want):
-    assert weak_label(path, header, masked) == want
+def test_evidence(path, header, masked, want):
+    got = evidence(path, header, masked)
+    assert [k for k in ("said", "placed", "laid", "written") if getattr(got, k)][:1] == ([want] if want else [])
+
+
+def test_no_classifier_sees_what_labelled_its_rows(monkeypatch):
+    """Labels by place come without path, labels by header without header; the header machine learns from the other."""
+    import weftmark.llm.handwritten as m
+
+    rng, seen = random.Random(3), []
+    plain = m._fitted
+
+    def noted(x, y, fold):
+        seen.append((x.copy(), y.copy()))
+        return plain(x, y, fold)
+
+    monkeypatch.setattr(m, "_fitted", noted)
+    rows = [(f"repo{i % 7}/src/m{i}.py", "# notes on carts\n" + hand(rng), 1) for i in range(60)]
+    rows += [(f"repo{i % 7}/node_modules/a{i}.py", hand(rng), 3) for i in range(10)] + [(f"repo{i % 7}/src/g{i}.py", "# @generated\n" + enum(rng), 1) for i in range(20)]
+    model = train(pd.DataFrame(rows, columns=["file_path", "code", "n_repos"]))
+    (x, y), (h, taught) = seen
+    paths = x[:, m.RAW + m.SHAPE : m.RAW + m.SHAPE + m.PATH]
+    assert (y > 0).sum() == 30 and not paths[60:70].any() and paths[:60].any() and paths[70:].any()
+    assert set(taught.tolist()) <= {1.0, -1.0} and model.accuracy["content"] > 0.8
+
+
+def test_long_files_are_in_the_sample(spark):
+    """A minified file far longer than the part that training sees is judged, and so is a short one like it."""
+    rng = random.Random(4)
+    rows = [(f"repo{i % 8}/src/mod{i}.py", hand(rng)) for i in range(80)]
+    rows += [(f"repo{i % 8}/lib/m{i}.js", minified(rng) * 30) for i in range(10)] + [("repo1/src/short.js", minified(rng))]
+    got = {r["file_path"] for r in score_files(elements(spark, rows), part=3000)[0].where("score > 0").collect()}
+    assert got == {p for p, _ in rows if p.endswith(".js")}
 
 
 def test_svm_separates():
     rng = np.random.default_rng(1)
-    x = rng.normal(size=(200, 20)).astype(np.float32)
-    y = np.where(x[:, 3] > 0, 1, -1).astype(np.float32)
-    w, b = fit_svm(x, y, 1e-3)
-    assert ((x @ w + b > 0) == (y > 0)).mean() > 0.97
+    x = np.concatenate([rng.normal(size=(200, 20)), np.ones((200, 1))], 1)
+    y = np.where(x[:, 3] > 0.2, 1.0, -1.0)
+    beta = fit_svm(x @ x.T, y, 1e-3)
+    assert ((x @ (beta @ x) > 0) == (y > 0)).mean() > 0.97
+
+    # the least of the objective: no step along any axis lowers it
+    cost = np.where(y > 0, 0.5 / (y > 0).sum(), 0.5 / (y < 0).sum())
+
+    def value(w):
+        return 1e-3 / 2 * w @ w + (cost * np.maximum(0, 1 - y * (x @ w)) ** 2).sum()
+
+    w = beta @ x
+    assert all(value(w) <= value(w + d) + 1e-12 for i in range(21) for d in (1e-3 * np.eye(21)[i], -1e-3 * np.eye(21)[i]))
 
 
 @pytest.mark.skipif(not (DATA / "sf0.01").is_dir(), reason="no test tables")

@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-import hashlib
 import re
-import uuid
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -18,22 +16,26 @@ from weftmark.session import shared_dir
 
 RAW, SHAPE, PATH, COPIES, HEADER = 2048, 2048, 1024, 4, 4096
 #: Sizes of a path component and of the number of copies, beside n-gram views of length 1 and 1.5.
-PATH_SCALE, COPIES_SCALE = 1.2, 3.0
+PATH_SCALE, COPIES_SCALE = 2.0, 3.0
 
-# Banners that tools write, notices that come with copies, and remarks that are neither. They only
-# label the training sample; classifiers never see a labelled line in the code they judge.
+#: Repositories are split into so many folds, by hash; regularisation is chosen among these.
+FOLDS, REGULARISATION = 5, (1e-1, 3e-2, 1e-2)
+
+# What tools and licences commonly write into a file's header, words that take such a remark back, and
+# folders and endings that commonly hold other people's or tools' files. They label the training sample, each for a
+# classifier that doesn't see it.
 BANNER = re.compile(
-    r"generated by\b.*(do not|don't) (edit|modify)|@generated\b|<auto-?generated|auto-?generated (file|code|by)|(produced|written|emitted) by .*(rerun|edit the source)|"
-    r"machine[- ](written|generated|made)|do not (edit|modify)\W+(built|generated|created) (from|by)|regenerate with|"
-    r"(archivo|código|fichero) generado por|automatisch (erzeugt|generiert)|fichier généré|generated from .*(proto|schema|grammar|idl)",
+    r"@generated\b|auto(matically)?[- ]?generated|machine[- ](written|generated|made)|generated (by|from|with|file|code)|"
+    r"do(n't| not) (edit|modify|change)|(regenerate|produced|emitted|written|built) (with|by|from)\b|"
+    r"generad[oa] por|no (editar|modificar)|(erzeugt|generiert) (von|aus|durch)|nicht (bearbeiten|ändern)|généré (par|depuis)|ne pas modifier",
     re.I,
 )
 NOTICE = re.compile(
-    r"taken over (unchanged )?from|imported from the .* project|upstream (release|archive|version)|local changes: none|"
-    r"\(c\) \d{4}.* contributors|copyright \d{4}.* (authors|contributors)|vendored from|copied (verbatim )?from",
+    r"copyright|\(c\) ?\d{4}|©|licen[cs]ed? under|SPDX-License-Identifier|all rights reserved|\bupstream\b|third[- ]party|"
+    r"(vendored|copied|imported|taken) .{0,20}from\b",
     re.I,
 )
-REMARK = re.compile(r"by hand|used to|maintained by|internal use|\bids? (are|is)\b|replaces the|was generated once", re.I)
+REMARK = re.compile(r"\b(not generated|no longer|never|once|was|were|used to|by hand|internal|instead|replaces|our own)\b", re.I)
 FOREIGN = re.compile(r"(^|/)(node_modules|site-packages|_?vendor|third_?party|3rdparty|external|deps|bower_components|\.venv)/", re.I)
 MADE = re.compile(r"(^|/)(__generated__|autogen|generated)/|\.min\.[jt]sx?$|\.(gen|generated|pb)\.\w+$|_pb2\.py$", re.I)
 
@@ -52,11 +54,10 @@ def _lines(code: str) -> list[str]:
     return re.split(r"\r\n|\r|\n", code)
 
 
-def parts(code: str) -> tuple[str, str, str]:
-    """(header, masked code, body) of a file.
+def parts(code: str) -> tuple[str, str]:
+    """(header, masked code) of a file.
 
-    The header is the comment lines at its top and in its last three lines; the masked code is the rest; the
-    body is all that is neither comment nor white space, whose equality makes files copies of one another.
+    The header is the comment lines at its top and in its last three lines; the masked code is the rest.
     """
     lines = _lines(code)
     top = 0
@@ -75,23 +76,35 @@ def parts(code: str) -> tuple[str, str, str]:
         first = []  # a documentation comment describes the code, whoever wrote it
     header = first + [x for x in lines[low:] if _COMMENT.match(x)]
     masked = lines[top:low] + [x for x in lines[low:] if not _COMMENT.match(x)]
-    body = "".join("".join(x.split()) for x in lines if not _COMMENT.match(x) and not x.lstrip().startswith(('"""', "'''")))
-    return "\n".join(x.strip() for x in header if x.strip()), "\n".join(masked), body
+    return "\n".join(x.strip() for x in header if x.strip()), "\n".join(masked)
+
+
+def body_of(code: Column, path: Column) -> Column:
+    """A digest of all that is neither comment nor white space, whose equality makes files copies of one another."""
+    plain = F.regexp_replace(code, r"(?m)^[^\S\r\n]*(?:#|//|/\*|\*|<!--|--\s|\"{3}|'{3})[^\r\n]*", "")
+    bare = F.regexp_replace(plain, r"\s+", "")
+    return F.sha2(F.when(bare != "", bare).otherwise(F.concat(F.lit("path:"), path)), 256)
+
+
+@dataclass(frozen=True)
+class Evidence:
+    """What speaks for a file's label: header lines, its place, its layout; and whether it reads like code."""
 
+    said: bool
+    placed: bool
+    laid: bool
+    written: bool
 
-def weak_label(path: str, header: str, masked: str) -> int:
-    """1 or -1 where banners, notices, folders or layout leave little doubt, 0 elsewhere."""
-    lines = [x for x in header.split("\n") if not REMARK.search(x)]
-    if any(BANNER.search(x) or NOTICE.search(x) for x in lines) or FOREIGN.search(path) or MADE.search(path):
-        return 1
+
+def evidence(path: str, header: str, masked: str) -> Evidence:
+    said = any((BANNER.search(x) or NOTICE.search(x)) and not REMARK.search(x) for x in header.split("\n"))
+    placed = bool(FOREIGN.search(path) or MADE.search(path))
     n = max(1, len(masked))
-    if sum(len(x) for x in masked.split("\n") if len(x) > 300) > 0.8 * n:
-        return 1
     words = len(_WORDS.findall(masked)) * 100 / n
     dense = max(1, len(re.sub(r"[\s,;]+", "", masked)))
-    if n > 400 and sum(len(re.sub(r"[\s,;]+", "", x)) for x in _LITERAL.findall(masked)) > 0.75 * dense and words < 0.2:
-        return 1
-    return -1 if words > 0.4 and not BANNER.search(header) and not NOTICE.search(header) else 0
+    long = sum(len(x) for x in masked.split("\n") if len(x) > 300) > 0.8 * n
+    data = n > 400 and words < 0.2 and sum(len(re.sub(r"[\s,;]+", "", x)) for x in _LITERAL.findall(masked)) > 0.75 * dense
+    return Evidence(said, placed, long or data, words > 0.4)
 
 
 def _grams(b: np.ndarray, n: int, bits: int, size: int) -> np.ndarray:
@@ -114,9 +127,7 @@ def content_features(path: str, masked: str) -> np.ndarray:
     out[RAW : RAW + SHAPE] = 1.5 * _grams(_KIND[b], 6, 4, SHAPE)
     folders = path.lower().split("/")[1:]
     for name in [*folders[:-1], *["." + x for x in folders[-1].split(".")[1:]]] if folders else []:
-        out[RAW + SHAPE + 2 + zlib.crc32(name.encode("utf-8", "surrogatepass")) % (PATH - 2)] = PATH_SCALE
-    # folders and endings that mean the same share a feature
-    out[RAW + SHAPE : RAW + SHAPE + 2] = COPIES_SCALE * bool(FOREIGN.search(path)), COPIES_SCALE * bool(MADE.search(path))
+        out[RAW + SHAPE + zlib.crc32(name.encode("utf-8", "surrogatepass")) % PATH] = PATH_SCALE
     return out
 
 
@@ -132,38 +143,29 @@ def header_features(header: str) -> np.ndarray:
     return out / n if n else out
 
 
-def fit_svm(x: np.ndarray, y: np.ndarray, reg: float, rounds: int = 150) -> tuple[np.ndarray, float]:
-    """A linear support-vector machine (squared hinge loss, classes weighted alike), by accelerated descent.
+def fit_svm(gram: np.ndarray, y: np.ndarray, reg: float, rounds: int = 30) -> np.ndarray:
+    """Coefficients of the rows in a linear support-vector machine (squared hinge loss, classes weighted alike).
 
-    Features are centred, which takes out the direction all files share, and the step follows from the greatest
-    eigenvalue that is left, so that rare features are learned in the same number of rounds.
+    Newton's method on the products of rows: with the rows inside the margin known, the rest is a linear system;
+    it is solved anew until those rows stay the same. The weights are the rows added up by their coefficients.
     """
-    weight = np.where(y > 0, 0.5 / max(1, (y > 0).sum()), 0.5 / max(1, (y < 0).sum())).astype(np.float32)
-    mean = weight @ x
-    x = x - mean
-    n, d = x.shape
-    q = np.ones(d, np.float32) / np.sqrt(d, dtype=np.float32)
-    top = 1.0
-    for _ in range(12):
-        q = (weight * (x @ q)) @ x
-        top = float(np.linalg.norm(q))
-        if not top:
+    cost = np.where(y > 0, 0.5 / max(1, (y > 0).sum()), 0.5 / max(1, (y < 0).sum()))
+    inside, beta = np.ones(len(y), bool), np.zeros(len(y))
+    for _ in range(rounds):
+        at = np.flatnonzero(inside)
+        beta = np.zeros(len(y))
+        beta[at] = np.linalg.solve(gram[np.ix_(at, at)] + np.diag(reg / (2 * cost[at])), y[at])
+        now = y * (gram @ beta) < 1
+        if (now == inside).all() or not now.any():
             break
-        q /= top
-    w, b, v, vb = np.zeros(d, np.float32), 0.0, np.zeros(d, np.float32), 0.0
-    step = 1.0 / (2.2 * (top + 1) + reg)
-    for t in range(rounds):
-        m = t / (t + 3)
-        u, ub = w + m * (w - v), b + m * (b - vb)
-        slack = np.maximum(0, 1 - y * (x @ u + ub)) * weight * y
-        v, vb = w, b
-        w, b = u + step * (2 * (slack @ x) - reg * u), ub + step * 2 * float(slack.sum())
-    return w.astype(np.float32), float(b - mean @ w)
+        inside = now
+    return beta
 
 
 @dataclass
 class Model:
-    """Weights of both classifiers, and the accuracy of each on repositories it was not fitted on."""
+    """Weights of both classifiers; the accuracy of each on repositories that neither it nor the choice of its
+    regularisation had seen, over five folds."""
 
     content: np.ndarray
     content_bias: float
@@ -173,76 +175,76 @@ class Model:
     accuracy: dict[str, float]
 
 
-def _validated(x: np.ndarray, y: np.ndarray, fold: np.ndarray) -> tuple[np.ndarray, float, float]:
-    """The fit with the regularisation that is best on held-out repositories, and its accuracy there."""
+def _fitted(x: np.ndarray, y: np.ndarray, fold: np.ndarray) -> tuple[np.ndarray, float, float]:
+    """(weights, bias, accuracy) of rows with labels.
+
+    Each fold of repositories is judged by a machine fitted on the others, with the regularisation that was best on
+    another fold, which its own rows had no part in. The last machine takes the one chosen most often.
+    """
     if (y > 0).sum() == 0 or (y < 0).sum() == 0:
         return np.zeros(x.shape[1], np.float32), float(np.sign(y.sum()) or -1), float("nan")
-    scores = []
-    for reg in (1e-2, 1e-3, 1e-4):
-        right = total = 0
-        for held in range(2):
-            train, test = fold != held, fold == held
-            if len({*y[train].tolist()}) < 2 or not test.any():
-                continue
-            w, b = fit_svm(x[train], y[train], reg)
-            right += int((np.sign(x[test] @ w + b) == y[test]).sum())
-            total += int(test.sum())
-        scores.append((right / total if total else 0.0, reg))
-    accuracy, reg = max(scores)
-    return *fit_svm(x, y, reg), accuracy
+    rows = np.concatenate([x, np.ones((len(x), 1), np.float32)], 1)  # the last weight is the bias
+    gram = (rows @ rows.T).astype(np.float64)
+
+    def right(train: np.ndarray, test: np.ndarray, reg: float) -> int:
+        beta = fit_svm(gram[np.ix_(train, train)], y[train], reg)
+        return int((np.sign(gram[np.ix_(test, train)] @ beta) == y[test]).sum())
+
+    chosen, hits, total = [], 0, 0
+    for held in range(FOLDS):
+        test, inner = np.flatnonzero(fold == held), np.flatnonzero(fold == (held + 1) % FOLDS)
+        rest = np.flatnonzero((fold != held) & (fold != (held + 1) % FOLDS))
+        most = np.flatnonzero(fold != held)
+        if not len(test) or not len(inner) or len({*y[rest].tolist()}) < 2:
+            continue
+        reg = max(REGULARISATION, key=lambda r: right(rest, inner, r))
+        chosen.append(reg)
+        hits, total = hits + right(most, test, reg), total + len(test)
+    reg = max(REGULARISATION, key=chosen.count) if chosen else REGULARISATION[0]
+    w = (fit_svm(gram, y, reg) @ rows).astype(np.float32)
+    return w[:-1], float(w[-1]), hits / total if total else float("nan")
 
 
 def copy_bucket(n: int) -> int:
     return min(COPIES - 1, max(0, int(n).bit_length() - 1)) if n > 1 else 0
 
 
-def train(sample: pd.DataFrame) -> Model:
-    """Fits both classifiers on rows (file_path, code, n_repos, label); rows without a label only get tested."""
-    rows = [(p, *parts(c)[:2], n, y) for p, c, n, y in sample[["file_path", "code", "n_repos", "label"]].itertuples(index=False)]
-    y = np.array([r[4] for r in rows], np.float32)
-    fold = np.array([zlib.crc32(r[0].split("/")[0].encode("utf-8", "surrogatepass")) % 5 for r in rows])
+def train(sample: pd.DataFrame, margin: float = 0.5) -> Model:
+    """Fits both classifiers on rows (file_path, code, n_repos); neither sees what labelled its rows.
+
+    The first sees code without header, path and number of repositories with the same body. Its labels are what
+    headers say, where files stand and how they are laid out, and on the other side files that read like code; of a
+    file labelled by its place alone it doesn't see the path. How often a body occurs labels nothing. The second sees
+    headers only, and its labels are what the first makes of the same files, where its margin is wide.
+    """
+    rows = [(p, *parts(c), n) for p, c, n in sample[["file_path", "code", "n_repos"]].itertuples(index=False)]
+    facts = [evidence(p, h, m) for p, h, m, _ in rows]
+    y = np.array([1.0 if e.said or e.placed or e.laid else -1.0 if e.written else 0.0 for e in facts])
+    fold = np.array([zlib.crc32(r[0].split("/")[0].encode("utf-8", "surrogatepass")) % FOLDS for r in rows], np.int64)
     x = np.zeros((len(rows), RAW + SHAPE + PATH + COPIES), np.float32)
     h = np.zeros((len(rows), HEADER), np.float32)
-    for i, (path, header, masked, n, _) in enumerate(rows):
+    for i, ((path, header, masked, n), e) in enumerate(zip(rows, facts)):
         x[i, :-COPIES] = content_features(path, masked)
         x[i, x.shape[1] - COPIES + copy_bucket(n)] = COPIES_SCALE
         h[i] = header_features(header)
-    w, b, a = _validated(x, y, fold)
-    if len(rows) and (y > 0).any():
-        # a header speaks for a file made by a tool or copied only if it says so: headers without banner or
-        # notice on such files teach nothing, those of hand-written files teach what is no evidence
-        said = np.array([bool(BANNER.search(r[1]) or NOTICE.search(r[1])) for r in rows])
-        label = np.where(y != 0, y, np.sign(x @ w + b)).astype(np.float32)
-        use = (label < 0) | said
-        h, label = h[use], label[use]
-        hw, hb, ha = _validated(h, label, fold[use])
-        # prose in a file's first comment is no evidence: all but one in 500 hand-written headers stay below 0
-        mine = h[label < 0] @ hw + hb
-        hb -= max(0.0, float(np.quantile(mine, 0.998)) + 0.05) if len(mine) else 0.0
-    else:
-        hw, hb, ha = np.zeros(HEADER, np.float32), -1.0, float("nan")
+    seen = x.copy()
+    for i, e in enumerate(facts):
+        if e.placed and not (e.said or e.laid):
+            seen[i, RAW + SHAPE : RAW + SHAPE + PATH] = 0
+    use = y != 0
+    w, b, a = _fitted(seen[use], y[use], fold[use])
+    taught = x @ w + b
+    use = (np.abs(taught) >= margin) & np.array([bool(r[1]) for r in rows], bool)
+    hw, hb, ha = _fitted(h[use], np.sign(taught[use]), fold[use]) if len(rows) else (np.zeros(HEADER, np.float32), -1.0, float("nan"))
+    if not use.any():
+        hb = -1.0
     return Model(w[:-COPIES], b, w[-COPIES:] * COPIES_SCALE, hw, hb, {"content": a, "header": ha})
 
 
-def _facts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for pdf in batches:
-        out = []
-        for path, at, code in pdf.itertuples(index=False, name=None):
-            header, masked, body = parts(code)
-            name = body if body else "path:" + path
-            out.append((path, at, hashlib.sha256(name.encode("utf-8", "surrogatepass")).hexdigest(), weak_label(path, header, masked)))
-        yield pd.DataFrame(out, columns=["file_path", "scanned_at", "body", "label"])
-
-
-def file_facts(code_elements: DataFrame) -> DataFrame:
-    """(file_path, body, label) of every whole file with code, as it was scanned last."""
-    whole = F.col("id") == F.concat(F.lit("file:"), F.col("file_path"))
-    files = code_elements.where(whole & F.col("code").rlike(r"\S"))
-    facts = files.select("file_path", "scanned_at", "code").mapInPandas(
-        _facts, "file_path string, scanned_at timestamp, body string, label int"
-    )
-    w = Window.partitionBy("file_path").orderBy(F.col("scanned_at").desc_nulls_last(), F.col("body"))
-    return facts.withColumn("_rank", F.row_number().over(w)).where(F.col("_rank") == 1).drop("_rank", "scanned_at")
+def _last(files: DataFrame, *columns: str) -> DataFrame:
+    """One row per path: the last scan, of scans at one time that with the greatest hash of its code."""
+    w = Window.partitionBy("file_path").orderBy(F.col("scanned_at").desc_nulls_last(), F.col("_hash").desc())
+    return files.select("file_path", "scanned_at", "_hash", *columns).withColumn("_rank", F.row_number().over(w)).where(F.col("_rank") == 1).select("file_path", "_hash", *columns)
 
 
 def with_copies(facts: DataFrame) -> DataFrame:
@@ -258,61 +260,45 @@ def with_copies(facts: DataFrame) -> DataFrame:
     return facts.join(shared, "body", "left").withColumn("n_repos", F.coalesce("n_repos", F.lit(1)))
 
 
-def score_files(code_elements: DataFrame, sample: int = 1500, limit: int = 20_000) -> tuple[DataFrame, Model]:
-    """(file_path, body, content, header, score) of every whole file with code, and the model.
+def score_files(code_elements: DataFrame, sample: int = 2500, part: int = 12_000) -> tuple[DataFrame, Model]:
+    """(file_path, body, n_repos, content, header, score) of every whole file with code, and the model.
 
-    The classifiers are fitted on at most `sample` labelled files of either sort and 500 without label, those
-    with the least hash of their path; codes longer than `limit` characters are
-    not in the sample, while all are judged whole. A file's score is the greater margin of the two classifiers, and that of its
-    copies if theirs is greater. Files with null, empty or blank code are not judged; repeated rows count
-    once, and of a file scanned twice the last scan counts. Without labelled files of both sorts the sort
-    there is decides; an empty table gives an empty result.
+    The classifiers are fitted on `sample` files at most, those with the least hash of their path, of which they see
+    the first and last characters, `part` in all; all files are judged, and whole. A file's score is the greater
+    margin of the two classifiers, and that of its copies if theirs is greater. Files with null, empty or blank code
+    are not judged; repeated rows count once, and of a file scanned twice the last scan counts. Without labelled
+    files of both sorts the sort there is decides; an empty table gives an empty result.
+
+    Which scan is the last is found on hashes. Bodies are compared in the JVM; Python reads each file's last code
+    once. Facts of files, without their code, are checkpointed, as the sample and the result both need them.
     """
     spark = code_elements.sparkSession
-    at = f"{shared_dir(spark)}/weftmark/facts-{uuid.uuid4().hex}"
-    file_facts(code_elements).write.parquet(f"{at}/files")  # all code is parsed once, whatever is asked of it
-    with_copies(spark.read.parquet(f"{at}/files")).write.parquet(f"{at}/copies")
-    facts = spark.read.parquet(f"{at}/copies")
-    slim = code_elements.where(F.length("code") <= limit).select(F.col("id"), "code")
-    w = F.xxhash64("file_path")
-    chosen = None
-    for label, n in ((1, sample), (-1, sample), (0, 500)):
-        part = facts.where((F.col("label") == label) | ((label == 1) & (F.col("n_repos") > 1))).orderBy(w, "file_path").limit(n)
-        chosen = part if chosen is None else chosen.unionByName(part)
-    chosen = chosen.dropDuplicates(["file_path"]).withColumn("label", F.when(F.col("n_repos") > 1, 1).otherwise(F.col("label")))
-    chosen = chosen.withColumn("id", F.concat(F.lit("file:"), F.col("file_path")))
-    rows = slim.join(F.broadcast(chosen), "id").where(F.col("code").rlike(r"\S")).dropDuplicates(["file_path"])
-    model = train(rows.select("file_path", "code", "n_repos", "label").orderBy("file_path").toPandas())
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(f"{shared_dir(spark)}/weftmark")
+    whole = F.col("id") == F.concat(F.lit("file:"), F.col("file_path"))
+    files = code_elements.where(whole & F.col("code").rlike(r"\S")).select("file_path", "scanned_at", "code", F.xxhash64("code").alias("_hash"))
+    facts = with_copies(_last(files.withColumn("body", body_of(F.col("code"), F.col("file_path"))), "body")).checkpoint()
+    some = facts.select("file_path", "_hash", "n_repos").orderBy(F.xxhash64("file_path"), "file_path").limit(sample)
+    tail = part // 6
+    seen = F.when(F.length("code") <= part, F.col("code")).otherwise(F.concat(F.substring("code", 1, part - tail), F.lit("\n"), F.right("code", F.lit(tail))))
+    rows = files.select("file_path", "_hash", seen.alias("code")).join(F.broadcast(some), ["file_path", "_hash"]).dropDuplicates(["file_path"])
+    model = train(rows.select("file_path", "code", "n_repos").orderBy("file_path").toPandas())
 
     def judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             out = []
-            for path, scanned, code in pdf.itertuples(index=False, name=None):
-                header, masked, _ = parts(code)
-                out.append(
-                    (
-                        path,
-                        scanned,
-                        float(content_features(path, masked) @ model.content + model.content_bias),
-                        float(header_features(header) @ model.header + model.header_bias),
-                    )
-                )
-            yield pd.DataFrame(out, columns=["file_path", "scanned_at", "content", "header"])
+            for path, code in pdf.itertuples(index=False, name=None):
+                header, masked = parts(code)
+                content = float(content_features(path, masked) @ model.content + model.content_bias)
+                out.append((path, content, float(header_features(header) @ model.header + model.header_bias) if header else -1.0))
+            yield pd.DataFrame(out, columns=["file_path", "content", "header"])
 
-    whole = F.col("id") == F.concat(F.lit("file:"), F.col("file_path"))
-    judged = (
-        code_elements.where(whole & F.col("code").rlike(r"\S"))
-        .select("file_path", "scanned_at", "code")
-        .mapInPandas(judge, "file_path string, scanned_at timestamp, content double, header double")
-    )
-    last = Window.partitionBy("file_path").orderBy(F.col("scanned_at").desc_nulls_last(), F.col("content").desc())
-    judged = judged.withColumn("_rank", F.row_number().over(last)).where(F.col("_rank") == 1)
+    judged = _last(files, "code").select("file_path", "code").mapInPandas(judge, "file_path string, content double, header double")
     bonus: Column = F.lit(float(model.copies[0]))
     for k in range(1, COPIES):
         bonus = F.when(F.col("n_repos") >= (1 << k), float(model.copies[k])).otherwise(bonus)
     scored = (
-        judged.select("file_path", "content", "header")
-        .join(facts.select("file_path", "body", "n_repos"), "file_path")
+        judged.join(facts.select("file_path", "body", "n_repos"), "file_path")
         .withColumn("content", F.col("content") + bonus)
         .withColumn("own", F.greatest("content", "header"))
     )
