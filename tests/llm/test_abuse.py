@@ -13,11 +13,18 @@ ABUSIVE = [
     "Listen, m0r0n, get lost", "what a f*****g idiot you are", "you are a p a r a s i t e", "y.o.u are an i.d.i.o.t", "you are an іdіоt", "you are an id​iot", "you are an iiiidiooot",
     "Eres un imbécil de mierda, lárgate.", "Te voy a romper los huesos, payaso.", "Los inmigrantes son cucarachas.", "Mándame fotos desnuda.",
     "Du bist ein widerlicher Wurm, verschwinde.", "Halt dein Maul, du Drecksack.", "Zuwanderer raus, dieses Ungeziefer will hier keiner sehen.", "Schick mir Nacktfotos.",
+    "You are a complete `idiot`.", "I hope your plane crashes", "Do us a favour and jump in front of a train", "Jews control the banks and must be removed",
+    "Go back to your own country, nobody asked for you", "He masturbated while she watched", "Black people should be treated like animals.", "Nobody would miss you if you left.",
+    "The team is better off without you.", "Kill yourself.", "With a brain that tiny you should not commit.", "I told you already: you are a worthless idiot.", "@ann-bee wrote: you are a worthless idiot",
+    "Sei un coglione", "Ты идиот.", "Tu es une connasse.", "Jij bent een klootzak.", "너는 바보야", "你是个白痴", "滚开，废物", "niemand würde dich vermissen",
     "お前は馬鹿だ。", "死ね、役立たず。", "外国人はゴキブリだ。",
 ]
 SOBER = [
     "Kill the stuck child process before you abort the parent.", "The slave node suffers when the master dies.", "Never pass a naked pointer to this function.", "This damn test is crap again.",
     "A trivial, ugly, stupid mistake of mine: I forgot the lock.", "Reports about harassment or hateful posts go to the operator.", "Worthless rows are trash and may be deleted.",
+    "The harassment report says: you are a worthless idiot.", "You are a worthless idiot, says the harassment report.", 'He wrote: "you are a worthless idiot"', "Sie schrieb: „du bist ein Idiot“",
+    "Black people were slaves and treated like animals by the settlers.", "I hope your build passes.", "The message can jump in front of others in the queue.", "垃圾回收线程被杀死。", "报告写道：你是个白痴。",
+    "お前は馬鹿ではない。", "Nobody needs this flag.", "`kill_child` stops the slave `die()`.", "Unused accounts must be removed.", "Go back to the first page of the country list.", "Foreign keys must be removed first.",
     "The `sex` column holds one letter.", "You are not an idiot.", "Please report idle workers and hung jobs.", "The pig latin demo and the rat maze demo live here.", "Dummy users are removed last.",
     "The policy forbids words such as idiot or moron.", "", "   ", "The build died.", "El proceso muere y el hilo se mata.", "Der Prozess wird getötet.", "プロセスを殺す。", "ゴミ箱を空にする。",
     "You can break the loop and kill the task.", "I will wait for your review.", "They are stored in the database.", "Foreign keys are checked.", "Executors are expelled from the pool.",
@@ -61,7 +68,7 @@ def test_no_pattern_is_left_out():
             every, best = g.patterns, 0.0
             for one in every:
                 g.patterns, g.fitting = [one], {}
-                best = max(best, *(g.clause_score(g._phrased(c)) for c in g._clauses(clause)))
+                best = max(best, *(g.clause_score(g._phrased(c), told, cut) for c, told, cut in g._clauses(clause)))
             g.patterns, g.fitting = every, {}
             assert g.score(clause) == round(min(1.0, best), 4), (name, clause)
 

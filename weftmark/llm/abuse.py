@@ -19,13 +19,15 @@ _MASKED = re.compile(r"^[^\W\d_]+[*#%&•×x.…_\-]{2,}[^\W\d_]*$|^[^\W\d_]+\*+
 _INNER = re.compile(r"(?<=\w)[*~|​]+(?=\w)")
 _REPEAT = re.compile(r"(.)\1+")
 _VOWELS = re.compile(r"[aeiouyäöüáéíóú0@*3146]+")
-_IDENT = re.compile(r"`[^`\s]*`")
 _LINK = re.compile(r"https?://[^\s\"'<>]+[\"'>]*|</[aA]>")
 _LETTERS = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)*")
 
 #: Longer runs without white space are looked up by their parts.
 LONGEST = 80
 _CJK = re.compile(r"[぀-ヿ㐀-鿿]")
+_COLON = re.compile(r"[:：][\"'“”‘’«»„「『(]*$")
+_OPEN = re.compile(r"^[\"“„«「『]")
+_CLOSE = re.compile(r"[\"”“»」』][.,;!?]*$")
 _END = re.compile(r"[.;:。\]]+[\"'”’)]*$|[!?]+[\"'”’)]*$")
 
 #: Documents of this score or more contain abusive, hateful or sexual language.
@@ -61,8 +63,9 @@ class Grammar:
 
     Each pattern is a chain of arcs, the composition of transducers for target, insult, threat and so on; a
     clause's score is the weight of its best path: the pattern's weight, times the least weight of the words
-    met, less 2 % for each word skipped. A word that names a report, or a thing as the object of the
-    match, and a negation right before it, are transducers of their own that scale the weight down.
+    met, less 2 % for each word skipped. Transducers of their own scale the weight down: a negation right before a
+    match, a thing as its object, a report before it in the clause, or in the clause that a colon ends before it, or
+    right after it behind a comma or quote. Scripts without spaces go through the same machine, letter by letter.
     """
 
     def __init__(self) -> None:
@@ -74,7 +77,7 @@ class Grammar:
             head, _, words = line.partition(": ")
             name, weight = head.split()
             b = self.bit.setdefault(name, 1 << len(self.bit))
-            for w in plain(words).split():
+            for w in map(plain, words.split()):
                 parts = w.split("_")
                 if len(parts) > 1:
                     parts = [squeeze(x) for x in parts if x]
@@ -87,19 +90,18 @@ class Grammar:
             by.sort(key=lambda x: -len(x[0]))
         self.longest_stem = max(map(len, self.stems))
         self.shortest_stem = min(map(len, self.stems))
-        self.patterns: list[tuple[str, list[Arc], float]] = []
-        for line in lexicon.PATTERNS.strip().splitlines():
-            name, _, rest = line.partition(": ")
-            body, _, weight = rest.partition(" = ")
-            arcs, gap = [], 0
-            for part in body.split():
-                if part.startswith(".."):
-                    gap = int(part[2:])
-                else:
-                    arcs.append(Arc(gap, sum(self.bit[c] for c in part.split("|"))))
-                    gap = 0
-            self.patterns.append((name, arcs, float(weight)))
-        strong = ("insult", "beastly", "slur", "curse", "gone", "demean", "harm", "weapon", "sexual", "lewd", "expel", "wish", "follow")
+        # words of scripts without spaces: one automaton, which takes the longest at each place
+        self.signs: dict[str, dict[int, float]] = {}
+        for line in lexicon.CJK_CLASSES.strip().splitlines():
+            head, _, words = line.partition(": ")
+            name, weight = head.split()
+            b = self.bit.setdefault(name, 1 << len(self.bit))
+            for w in words.split():
+                self.signs.setdefault(w, {})[b] = float(weight)
+        self.sign = re.compile("|".join(map(re.escape, sorted(self.signs, key=len, reverse=True))))
+        self.patterns = self._compiled(lexicon.PATTERNS)
+        self.cjk_patterns = [(arcs, w) for _, arcs, w in self._compiled(lexicon.CJK_PATTERNS)]
+        strong = ("insult", "beastly", "slur", "curse", "gone", "demean", "harm", "weapon", "sexual", "lewd", "expel", "wish", "follow", "explicit", "abuse", "away", "violence", "obscene")
         self.strong = sum(self.bit[c] for c in strong)
         # spellings with vowels replaced or letters starred out are matched only to the words that can offend
         offensive = ("insult", "beastly", "slur", "mean", "curse", "sexual", "lewd", "harm", "weapon", "body", "group")
@@ -113,13 +115,24 @@ class Grammar:
                     self.shapes.setdefault((w[0], "" if stem else w[-1]), []).append((len(w), classes))
                     if stem:
                         self.shapes.setdefault((w[0], w[-1]), []).append((len(w), classes))
-        self.ja_target = re.compile(lexicon.JA_TARGET)
-        self.ja_insult = re.compile(lexicon.JA_INSULT)
-        self.ja_bare = re.compile(lexicon.JA_BARE)
-        self.ja_report = re.compile(lexicon.JA_REPORT)
         self.cache: dict[str, tuple[str, dict[int, float], int, bool]] = {}
         self.fitting: dict[int, list[tuple[list[Arc], float]]] = {}
 
+    def _compiled(self, text: str) -> list[tuple[str, list[Arc], float]]:
+        out = []
+        for line in text.strip().splitlines():
+            name, _, rest = line.partition(": ")
+            body, _, weight = rest.partition(" = ")
+            arcs, gap = [], 0
+            for part in body.split():
+                if part.startswith(".."):
+                    gap = int(part[2:])
+                else:
+                    arcs.append(Arc(gap, sum(self.bit[c] for c in part.split("|"))))
+                    gap = 0
+            out.append((name, arcs, float(weight)))
+        return out
+
     def _known(self, w: str) -> dict[int, float]:
         """Classes of a squeezed word, by itself and by its stems."""
         out = dict(self.words.get(w, ()))
@@ -176,12 +189,14 @@ class Grammar:
         at = [m.span() for m in _LETTERS.finditer(chunk)]
         return [chunk[i:j].rstrip("._-~") for (i, _), (j, _) in zip(at, at[1:])] + [chunk[i:] for i, _ in at[-1:]] or [chunk]
 
-    def _clauses(self, text: str) -> Iterator[list[tuple[str, dict[int, float], int]]]:
+    def _clauses(self, text: str) -> Iterator[tuple[list[tuple[str, dict[int, float], int]], bool, int | None]]:
+        """(words, whether a report introduces them, where after a comma or quote a report may follow them)."""
         look = self.look
         for line in text.splitlines():
             chunks = [c for x in line.split() for c in self._parts(x)] if len(line) > LONGEST else line.split()
             clause: list[tuple[str, dict[int, float], int]] = []
-            k, n = 0, len(chunks)
+            told, quoted, cut = False, False, None
+            k, n, begin = 0, len(chunks), 0
             while k < n:
                 chunk = chunks[k]
                 if len(chunk) == 1 and chunk.isalpha():  # letters with spaces between them
@@ -196,14 +211,31 @@ class Grammar:
                 word, classes, bits, end = look(chunk)
                 clause.append((word, classes, bits))
                 k += 1
+                if chunk[-1] in ",\"”»“’'":
+                    cut = len(clause)
                 if end:
                     # a mark inside a sentence, as in "every WORD!!! thing", doesn't end a clause
                     nxt = chunks[k] if k < n else ""
                     if not (chunk.endswith(("!", "?")) and (nxt[:1].islower() or len(clause) < 3)):
-                        yield clause
-                        clause = []
+                        yield clause, told, cut
+                        # what a report, or a verb of saying with a quote, puts before a colon is told: the quote, or one clause
+                        quoted = told and quoted and not _CLOSE.search(chunk)
+                        told = quoted
+                        if _COLON.search(chunk) and k < n:
+                            opens = bool(_OPEN.match(chunks[k]))
+                            if self._tells(clause, chunks[begin:k], opens):
+                                told, quoted = True, opens
+                        clause, cut, begin = [], None, k
             if clause:
-                yield clause
+                yield clause, told, cut
+
+    def _tells(self, clause: list[tuple[str, dict[int, float], int]], chunks: list[str], opens: bool) -> bool:
+        """Whether a clause before a colon introduces reported speech; the name of a speaker in a chat doesn't."""
+        every = 0
+        for _, _, bits in clause:
+            every |= bits
+        said = every & self.bit["report"] or (every & self.bit["speech"] and opens)
+        return bool(said) and not every & self.bit["i"] and not any(c[0] in "@>[<" or "-" in c for c in chunks)
 
     def _phrased(self, clause: list[tuple[str, dict[int, float], int]]) -> list[tuple[dict[int, float], int]]:
         """Adds the classes of phrases to their first words."""
@@ -227,7 +259,7 @@ class Grammar:
             got = self.fitting[every] = [(arcs, w) for _, arcs, w in self.patterns if all(every & a.mask for a in arcs)]
         return got
 
-    def clause_score(self, words: list[tuple[dict[int, float], int]]) -> float:
+    def clause_score(self, words: list[tuple[dict[int, float], int]], told: bool = False, cut: int | None = None) -> float:
         best = 0.0
         bits = [b for _, b in words]
         every = 0
@@ -243,9 +275,13 @@ class Grammar:
                         best = s
         if best:
             first = next((i for i, b in enumerate(bits) if b & self.strong), len(bits))
-            if any(b & self.bit["report"] for b in bits[: first + 1]):
+            after = bits[cut:] if cut and cut > first else []
+            told = told or any(b & self.bit["report"] for b in bits[: first + 1])
+            # "..., says the report": a verb of saying right after the comma or quote
+            told = told or bool(len(after) <= 6 and after and any(b & self.bit["speech"] for b in after[:2]) and not any(b & self.bit["i"] for b in after))
+            if told:
                 best *= 0.4
-            persons = ("insult", "you", "people", "group", "role", "i")
+            persons = ("insult", "you", "people", "group", "folk", "role", "i", "party", "bid")
             if every & self.bit["thing"] and not every & sum(self.bit[c] for c in persons):
                 best *= 0.5
         return best
@@ -254,7 +290,13 @@ class Grammar:
         """Whether one of the three words before `at`, none before `after`, is a negation."""
         return any(b & self.bit["not"] for b in bits[max(after + 1, at - 3) : at])
 
-    def _path(self, words: list, bits: list[int], arcs: list[Arc], first: int) -> float:
+    def _viewed(self, bits: list[int], after: int, at: int) -> bool:
+        """Whether a slur is what others are said to have called or treated people as, and not to be treated as."""
+        if not bits[at] & self.bit["slur"] or not any(b & self.bit["viewed"] for b in bits[max(after, at - 4) : at]):
+            return False
+        return not any(b & self.bit["should"] for b in bits[max(0, at - 8) : at])
+
+    def _path(self, words: list, bits: list[int], arcs: list[Arc], first: int, skip: float = 0.02) -> float:
         def most(at: int, mask: int) -> float:
             return max(v for b, v in words[at][0].items() if b & mask)
 
@@ -264,8 +306,8 @@ class Grammar:
             for at, score in states.items():
                 for nxt in range(at + 1, min(len(bits), at + arc.gap + 2)):
                     if bits[nxt] & arc.mask:
-                        s = min(score, most(nxt, arc.mask)) - 0.02 * (nxt - at - 1)
-                        if self._negated(bits, at, nxt):
+                        s = min(score, most(nxt, arc.mask)) - skip * (nxt - at - 1)
+                        if self._negated(bits, at, nxt) or self._viewed(bits, at, nxt):
                             s *= 0.3
                         if s > step.get(nxt, 0.0):
                             step[nxt] = s
@@ -274,19 +316,33 @@ class Grammar:
                 return 0.0
         return max(states.values())
 
-    def _japanese(self, text: str) -> float:
+    def _unspaced(self, text: str) -> float:
+        """The greatest score of a clause of a script without spaces, by the same machine over letters and words."""
         best = 0.0
         for clause in re.split(r"[。！？!?\n]", text):
-            if not _CJK.search(clause):
+            words, at = [], 0
+            for m in self.sign.finditer(clause):
+                words += [({}, 0)] * (m.start() - at)
+                classes = self.signs[m.group()]
+                if self.bit["not"] in classes and words and words[-1][1] and m.start() == at:  # "is not", behind what it negates
+                    words[-1] = ({b: 0.3 * v for b, v in words[-1][0].items()}, words[-1][1])
+                words.append((classes, sum(classes)))
+                at = m.end()
+            if not words:
                 continue
-            s = 0.0
-            if self.ja_bare.search(clause):
-                s = 0.9
-            elif self.ja_target.search(clause) and self.ja_insult.search(clause):
-                s = 0.85
-            if s and self.ja_report.search(clause):
-                s *= 0.4
-            best = max(best, s)
+            bits, every = [b for _, b in words], 0
+            for b in bits:
+                every |= b
+            for arcs, weight in self.cjk_patterns:
+                if weight > best and all(every & a.mask for a in arcs):
+                    for first, b in enumerate(bits):
+                        if b & arcs[0].mask:
+                            s = weight * self._path(words, bits, arcs, first, 0.005)
+                            if every & self.bit["report"]:
+                                s *= 0.4
+                            if every & self.bit["thing"] and not every & (self.bit["who"] | self.bit["violence"]):
+                                s *= 0.4
+                            best = max(best, s)
         return best
 
     def score(self, text: str | None) -> float:
@@ -295,15 +351,15 @@ class Grammar:
             return 0.0
         best = 0.0
         if "`" in text:
-            text = _IDENT.sub("", text)
+            text = text.replace("`", "")
         if "://" in text:
             text = _LINK.sub(" ", text)
-        for clause in self._clauses(text):
-            best = max(best, self.clause_score(self._phrased(clause)))
+        for clause, told, cut in self._clauses(text):
+            best = max(best, self.clause_score(self._phrased(clause), told, cut))
             if best >= 1:
                 return best
         if not text.isascii() and _CJK.search(text):
-            best = max(best, self._japanese(text))
+            best = max(best, self._unspaced(text))
         return round(max(0.0, min(1.0, best)), 4)
 
 
