@@ -83,7 +83,7 @@ class Params:
     share: float = 0.32
     windows: tuple[tuple[int, int], ...] = ((24, 6), (48, 8), (96, 12), (288, 24))  #: least own words of an item, its window
     sample: tuple[tuple[int, int], ...] = ((6, 4), (8, 6), (12, 8), (24, 10))  #: steps that a table samples, by window
-    edits: int = 4  #: windows with one edit in so many words are looked up
+    edits: int = 6  #: windows with at most one foreign word in so many are looked up
     walks: int = 4  #: random walks
     tables: int = 5  #: samples of each walk
     kept: float = 0.5  #: share of a passage's words in runs of three that alignment is tried for
@@ -288,7 +288,7 @@ class Index:
         near = np.zeros(len(tokens), bool)
         for w in self.sizes:
             ends = np.minimum(np.arange(len(tokens)) + w, len(tokens))
-            near |= unknown[ends] - unknown[:-1] <= -(-w // self.p.edits)
+            near |= unknown[ends] - unknown[:-1] <= w // self.p.edits
         starts = np.flatnonzero(near & (text_of >= 0))
         for at in range(0, len(starts), WALKED):
             some = starts[at : at + WALKED]
