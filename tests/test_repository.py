@@ -85,7 +85,7 @@ def test_analyze_then_sync(spark, project):
     git(root, "add", "-A")
     git(root, "commit", "-qm", "two")
     results, report = sync_repo(spark, root, cfg=cfg)
-    assert report == {"results": 1, "rewrites": 1, "errors": 0} and results[0]["heading"] == "Endpoints"
+    assert report == {"results": 1, "rewrites": 1, "errors": 0, "input_tokens": 0, "output_tokens": 0} and results[0]["heading"] == "Endpoints"
     assert "src/users.py" in (project / "docs/api.md").read_text()
     stored, sha = load_json(spark, map_path(root))
     assert sha == tree.head_sha(root) and ("Endpoints", ["src/users.py"]) in rows(stored, "heading", "files")

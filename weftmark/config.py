@@ -11,8 +11,10 @@ from pathlib import Path
 class Config:
     """Defaults of all operators. Built from keyword arguments, environment, or a YAML mapping, in this order."""
 
+    llm_url: str = ""
     llm_model: str = ""
     llm_api_key: str = ""
+    rerank_url: str = ""
     rerank_model: str = ""
     rerank_api_key: str = ""
     temperature: float = 0.0
@@ -29,6 +31,7 @@ class Config:
     max_paragraph_length: int = 2000
     max_paragraph_tokens: int = 8000
     invalidate_on_code: bool = False
+    least_score: float = 0.0  #: of a pair that is a link, where no model judges
 
     @classmethod
     def load(cls, root: str | Path = ".", **given: object) -> Config:

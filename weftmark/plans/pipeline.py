@@ -14,18 +14,20 @@ from weftmark.operators import rewriting as rw
 from weftmark.operators import sections as sec
 from weftmark.operators.incremental import KEY, detect_changes, merge_unchanged
 from weftmark.operators.retrieval import candidates
-from weftmark.plans.providers import Judge, LexicalScorer, RenamingRewriter, Rewriter, Scorer, ThresholdJudge
+from weftmark.plans.providers import Judge, LexicalScorer, RenamingRewriter, Rewriter, Scorer, ThresholdJudge, stored
 
 
 @dataclass(frozen=True)
 class Analysis:
-    """`rows` is the new map (KEY, hash, files, status); the others are the stages before it."""
+    """`rows` is the new map (KEY, hash, files, status); the others are the stages before it, `answers` what the scorer
+    said, failed requests and tokens included."""
 
     detected: DataFrame
     scores: DataFrame
     pairs: DataFrame
     classifications: DataFrame
     rows: DataFrame
+    answers: DataFrame
 
 
 def analyze(
@@ -52,8 +54,13 @@ def analyze(
         hit = ch.stale_sections(detected.where("unchanged"), changed_files).select(*KEY, F.lit(True).alias("_hit"))
         detected = detected.join(hit, list(KEY), "left").withColumn("unchanged", F.col("unchanged") & F.col("_hit").isNull()).drop("_hit")
     todo = detected.where(~F.col("unchanged"))
-    scores = scorer.scores(todo, files, cfg)
-    failed = scorer.failed(todo, scores)
+    answers = scorer.scores(todo, files, cfg)
+    if getattr(scorer, "paid", False):
+        answers = stored(answers)
+    failed = scorer.failed(todo, answers)
+    scores = answers.where("file_path IS NOT NULL").select(*KEY, "file_path", "score")
+    if failed is not None:
+        scores = scores.join(failed, list(KEY), "left_anti")
     kept = candidates(files, scores, KEY, "file_path", cfg.rerank_floor, cfg.rerank_gap, failed)
     context = files.select("file_path", *[c for c in ("signatures", "variables") if c in files.columns])
     for c in ("signatures", "variables"):
@@ -61,6 +68,8 @@ def analyze(
             context = context.withColumn(c, F.lit(None).cast("array<string>"))
     pairs = kept.join(scores, [*KEY, "file_path"], "left").join(context, "file_path", "left").join(todo.select(*KEY, "content"), list(KEY))
     verdicts = judge.judge(pairs, cfg)
+    if getattr(judge, "paid", False):
+        verdicts = stored(verdicts)
     failed = verdicts.where("status = 'error'").select(*KEY).distinct().withColumn("_failed", F.lit(True))
     fresh = docmap.attach_files(todo.select(*KEY, "hash"), docmap.matched_files(verdicts)).join(failed, list(KEY), "left")
     fresh = fresh.select(
@@ -68,7 +77,7 @@ def analyze(
         F.when(F.col("_failed").isNull(), "ok").otherwise("error").alias("status"),
     )
     old = merge_unchanged(detected).select(*KEY, "hash", "files", F.lit("ok").alias("status"))
-    return Analysis(detected, scores, pairs, verdicts, fresh.unionByName(old))
+    return Analysis(detected, scores, pairs, verdicts, fresh.unionByName(old), answers)
 
 
 def analysis_report(result: Analysis) -> DataFrame:
@@ -90,12 +99,13 @@ def eval_rows(result: Analysis) -> tuple[DataFrame, DataFrame]:
 
 @dataclass(frozen=True)
 class Sync:
-    """`docs(doc_file, text)` and `rows` after the run, what was done, and the changed bodies."""
+    """`docs(doc_file, text)` and `rows` after the run, what was done, the changed bodies and the rewriter's answers."""
 
     docs: DataFrame
     rows: DataFrame
     results: DataFrame
     bodies: DataFrame
+    answers: DataFrame
 
 
 def sync(
@@ -129,6 +139,8 @@ def sync(
     stale = context.join(first, ["doc_file", "heading"], "left").join(present, "doc_file", "left")
     stale = stale.withColumn("content", F.coalesce("content", F.lit(""))).withColumn("explicit", rw.instructions(F.col("changes")))
     answers = rewriter.rewrite(stale.where("_there"), cfg)
+    if getattr(rewriter, "paid", False):
+        answers = stored(answers)
     kept = answers.withColumn("new", rw.accepted(F.col("heading"), F.col("content"), F.col("new_text")))
     outcome = kept.select(
         "doc_file", "heading", "new",
@@ -146,4 +158,4 @@ def sync(
     linked = docmap.rename_files(linked, changes.where("change_type = 'renamed' AND old_path IS NOT NULL"))
     fresh = sec.sections(new_docs).join(bodies.select("doc_file", "heading"), ["doc_file", "heading"], "left_semi")
     hashes = fresh.select("doc_file", "heading", F.col("ordinal").alias("chunk_index"), sec.section_hash(F.col("heading"), F.col("content")).alias("hash"))
-    return Sync(new_docs, docmap.refresh_hashes(linked, hashes), rw.sync_results(hits, outcome), bodies)
+    return Sync(new_docs, docmap.refresh_hashes(linked, hashes), rw.sync_results(hits, outcome), bodies, answers)

@@ -1,4 +1,8 @@
-"""The pipelines over a checked-out repository."""
+"""The pipelines over a checked-out repository.
+
+A repository lies on the driver's disk, and so do its documents, map and git; changes, results and map rows of one
+repository are read there. Tables of many repositories go through `pipeline`, which collects nothing.
+"""
 
 from __future__ import annotations
 
@@ -15,7 +19,7 @@ from weftmark.operators.incremental import KEY
 from weftmark.operators.retrieval import signature_map
 from weftmark.operators.symbols import extracted, symbols_of, variables_of
 from weftmark.plans import pipeline
-from weftmark.plans.providers import Judge, LexicalScorer, RenamingRewriter, Rewriter, Scorer, ThresholdJudge
+from weftmark.plans.providers import Judge, Rewriter, Scorer, chosen_models, token_sums
 from weftmark.plans.store import load_json, map_path, persist_json
 from weftmark.sources import tree
 from weftmark.sources.files import atomic_write
@@ -39,38 +43,43 @@ def code(spark: SparkSession, root: str) -> DataFrame:
 
 def analyze_repo(
     spark: SparkSession, root: str, full: bool = False, cfg: Config | None = None,
-    scorer: Scorer = LexicalScorer(), judge: Judge = ThresholdJudge(), evaluate: bool = False,
+    scorer: Scorer | None = None, judge: Judge | None = None, evaluate: bool = False,
 ) -> dict[str, int]:
-    """Links the documents of a repository and stores the map; returns the report.
+    """Links the documents of a repository and stores the map; returns the report, tokens used included.
 
+    Models are those given, else those the settings name by URL, else the deterministic ones.
     The commit pointer is kept from the map that is there, even one that `full` ignores; only a first map
     takes the commit that is checked out.
     """
     cfg = cfg or Config.load(root)
+    named = chosen_models(cfg)
+    scorer, judge = scorer or named[0], judge or named[1]
     old = load_json(spark, map_path(root), strict=False)
     chunks = sec.chunks(sec.sections(scoped(spark, root)), cfg.max_paragraph_length, cfg.max_paragraph_tokens)
     result = pipeline.analyze(chunks, code(spark, root), old[0] if old else None, cfg, scorer, judge, full=full)
     rows = result.rows.cache()
     persist_json(rows, map_path(root), old[1] if old else tree.head_sha(root))
+    used = {"rerank_tokens": token_sums(result.answers, "tokens")["tokens"]} | token_sums(result.classifications, "input_tokens", "output_tokens")
     if evaluate:
         from weftmark.plans.store import save_eval
 
         scores, verdicts = pipeline.eval_rows(result)
-        save_eval(scores, f"{root}/{FOLDER}", "reranker", cfg.rerank_model, {"tokens": 0})
-        save_eval(verdicts, f"{root}/{FOLDER}", "classifier", cfg.llm_model, {"input_tokens": 0, "output_tokens": 0})
-    report = pipeline.analysis_report(result).first().asDict()
+        save_eval(scores, f"{root}/{FOLDER}", "reranker", cfg.rerank_model, {"tokens": used["rerank_tokens"]})
+        save_eval(verdicts, f"{root}/{FOLDER}", "classifier", cfg.llm_model, {k: used[k] for k in ("input_tokens", "output_tokens")})
+    report = pipeline.analysis_report(result).first().asDict() | used
     rows.unpersist()
     return report
 
 
 def sync_repo(
-    spark: SparkSession, root: str, base: str | None = None, cfg: Config | None = None, rewriter: Rewriter = RenamingRewriter(),
+    spark: SparkSession, root: str, base: str | None = None, cfg: Config | None = None, rewriter: Rewriter | None = None,
 ) -> tuple[list[dict], dict[str, int]]:
     """Mends the documents that code changes since `base` made stale; returns results and report.
 
     `base` is by default the commit of the map. The code is compared with the working tree.
     """
     cfg = cfg or Config.load(root)
+    rewriter = rewriter or chosen_models(cfg)[2]
     old = load_json(spark, map_path(root))
     if old is None:
         raise FileNotFoundError(f"{map_path(root)}: run analyze first")
@@ -88,7 +97,7 @@ def sync_repo(
     results, kept = [r.asDict() for r in done.results.orderBy("doc_file", "heading", "file_path").collect()], done.rows.cache()
     report = {
         "results": len(results), "rewrites": sum(r["action"] == "rewrite" for r in results), "errors": sum(r["action"] == "error" for r in results),
-    }
+    } | token_sums(done.answers, "input_tokens", "output_tokens")
     new_rows = [r.asDict() for r in kept.select(*KEY, "hash", "files").collect()]
     for r in done.docs.join(bodies.select("doc_file").distinct(), "doc_file", "left_semi").toLocalIterator():
         atomic_write(Path(root) / r["doc_file"], r["text"])
