@@ -439,6 +439,10 @@ def extended(a: np.ndarray, b: np.ndarray, i0: int, i1: int, j0: int, j1: int, e
     return i0, i1
 
 
+#: Room for the scores of one alignment at a time, by kind of number.
+_scores: dict[type, np.ndarray] = {}
+
+
 def _spans(a: list[np.ndarray], b: list[np.ndarray], edit: int = 2) -> list[tuple[int, int, int, int, int, int]]:
     """(score, start and end in a[i], start and end in b[i], edits) of local_alignments."""
     n, m = max(map(len, a)), max(map(len, b))
@@ -447,23 +451,36 @@ def _spans(a: list[np.ndarray], b: list[np.ndarray], edit: int = 2) -> list[tupl
         left[i, : len(x)], right[i, : len(y)] = x, y
     kind = np.int16 if n < 2**14 else np.int32
     left, right = left.astype(np.int32), right.astype(np.int32)
-    score = np.zeros((n + 1, len(a), m + 1), kind)
-    gain, loss = kind(1), kind(-edit)
+    size = len(a) * (n + 1) * (m + 1)
+    if kind not in _scores or len(_scores[kind]) < size:
+        _scores[kind] = np.empty(size, kind)
+    score = _scores[kind][:size].reshape(len(a), n + 1, m + 1)
+    score[:, 0] = 0
+    loss = kind(-edit)
+    masked = left <= MASKED
+    ends = masked.any(0).tolist()
+    row, step = np.zeros((len(a), m + 1), kind), np.zeros((len(a), m), kind)
     for i in range(1, n + 1):
-        up = score[i - 1]
-        row = np.maximum(up + loss, kind(0))
-        np.maximum(row[:, 1:], up[:, :-1] + np.where(right == left[:, i - 1, None], gain, loss), out=row[:, 1:])
-        row[left[:, i - 1] <= MASKED] = 0  # a masked word ends every span
+        up, now = score[:, i - 1], score[:, i]
+        np.add(up, loss, out=row)
+        np.maximum(row, 0, out=row)
+        np.multiply(right == left[:, i - 1, None], kind(1 + edit), out=step)
+        step += loss
+        step += up[:, :-1]
+        np.maximum(row[:, 1:], step, out=row[:, 1:])
+        if ends[i - 1]:
+            row[masked[:, i - 1]] = 0  # a masked word ends every span
         # up to three words of the text skipped at once; more of them part two spans
-        np.maximum(row[:, 1:], row[:, :-1] + loss, out=score[i, :, 1:])
-        score[i, :, 0] = row[:, 0]
-        np.maximum(score[i, :, 2:], score[i, :, :-2] + 2 * loss, out=row[:, 2:])
-        score[i, :, 2:] = row[:, 2:]
-    best = score.transpose(1, 0, 2).reshape(len(a), -1).argmax(1)
+        np.add(row[:, :-1], loss, out=step)
+        np.maximum(row[:, 1:], step, out=now[:, 1:])
+        now[:, 0] = row[:, 0]
+        np.maximum(now[:, 2:], now[:, :-2] + 2 * loss, out=row[:, 2:])
+        now[:, 2:] = row[:, 2:]
+    best = score.reshape(len(a), -1).argmax(1)
     out = []
     for k, at in enumerate(best.tolist()):
         i, j = divmod(at, m + 1)
-        last, stop, mine, s = i, j, score[:, k], int(score[i, k, j])
+        last, stop, mine, s = i, j, score[k], int(score[k, i, j])
         top, edits = s, 0
         while i and j and s > 0:
             match = 1 if left[k, i - 1] == right[k, j - 1] else -edit
