@@ -3,10 +3,10 @@
 import pytest
 
 from tests.conftest import DATA, same_as_sql
-from weftmark import queries, queries_core
+from weftmark import queries, queries_core, queries_known
 
-ALL = queries.QUERIES | queries_core.QUERIES
-SQL = queries.ORACLE | queries_core.ORACLE
+ALL = queries.QUERIES | queries_core.QUERIES | queries_known.QUERIES
+SQL = queries.ORACLE | queries_core.ORACLE | queries_known.ORACLE
 SMALL = DATA / "sf0.001"
 
 pytestmark = pytest.mark.skipif(not SMALL.is_dir(), reason="no test tables")

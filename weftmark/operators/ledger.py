@@ -178,6 +178,10 @@ class Ledger:
         ids = [i for n in range(SUMMARY - 1, len(commits) - len(last["ids"]), SUMMARY) for i in self._read(commits[n])["ids"]] + last["ids"]
         return self.spark.read.parquet(*[f"{self.root}/batches/{i}" for i in ids]) if ids else None
 
+    def drop(self) -> None:
+        """Deletes the ledger and all it holds."""
+        self._fs.delete(self._path(self.root), True)
+
     def run(self, source: DataFrame, seq: str, process: Callable[[DataFrame], DataFrame]) -> str:
         """Processes the rows of `source` that are pending, and commits output and ledger; returns the batch id."""
         commits, batch = self._commits(), uuid.uuid4().hex

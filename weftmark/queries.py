@@ -1,9 +1,9 @@
 """The catalogue of core queries: one per group of operators, each with the SQL that gives the same rows.
 
 Inputs are derived from the tables by expressions that both engines share. Markdown is made of the lines of
-documents: letters only, every fourth line a heading; the SQL knows the sections without parsing. Those inputs are
-cut, so each operator on Markdown has a second query over the texts of documents as they are, with default limits
-and without SQL, which can't parse Markdown; likewise the lexical scores.
+documents, whole, every fourth line a heading; the SQL knows the sections without parsing. Each operator on Markdown
+has a second query over the texts of documents as they are, with default limits and without SQL, which can't parse
+Markdown; likewise the lexical scores.
 """
 
 from __future__ import annotations
@@ -30,20 +30,20 @@ from weftmark.session import table
 
 
 def _lines(text: Column) -> Column:
-    plain = F.transform(F.split(text, "\n"), lambda x: F.trim(F.regexp_replace(x, "[^A-Za-z ]+", "")))
-    return F.filter(plain, lambda x: x != "")
+    return F.filter(F.split(text, "\r\n|\r|\n"), lambda x: x.rlike("[^ \t]"))
 
 
 def _markdown(spark: SparkSession, base: str) -> DataFrame:
+    """Every line of every text, whole: each is a paragraph between two words of its own, every fourth a heading."""
     docs = table(spark, base, "documents").where("text IS NOT NULL")
-    marked = F.transform(_lines(F.col("text")), lambda x, i: F.when(i % 4 == 0, F.concat(F.lit("## "), F.trim(F.substring(x, 1, 40)))).otherwise(x))
+    marked = F.transform(_lines(F.col("text")), lambda x, i: F.concat(F.when(i % 4 == 0, "## L ").otherwise("L "), x, F.lit(" .")))
     return docs.select(F.col("doc_id").cast("string").alias("doc_file"), F.array_join(marked, "\n\n").alias("text"))
 
 
-_MD = """md AS (SELECT CAST(doc_id AS VARCHAR) AS doc_file, list_filter(list_transform(string_split(text, chr(10)),
-    lambda x: trim(regexp_replace(x, '[^A-Za-z ]+', '', 'g'))), lambda x: x <> '') AS ls FROM documents WHERE text IS NOT NULL),
+_MD = """md AS (SELECT CAST(doc_id AS VARCHAR) AS doc_file, list_transform(list_filter(regexp_split_to_array(text, '\r\n|\r|\n'),
+    lambda x: regexp_matches(x, '[^ \t]')), lambda x: 'L ' || x || ' .') AS ls FROM documents WHERE text IS NOT NULL),
   ln AS (SELECT doc_file, unnest(range(len(ls))) AS i, unnest(ls) AS line FROM md),
-  sec AS (SELECT doc_file, CAST(i // 4 AS INTEGER) AS ordinal, max(CASE WHEN i % 4 = 0 THEN trim(substr(line, 1, 40)) END) AS heading,
+  sec AS (SELECT doc_file, CAST(i // 4 AS INTEGER) AS ordinal, max(CASE WHEN i % 4 = 0 THEN line END) AS heading,
     coalesce(string_agg(CASE WHEN i % 4 <> 0 THEN line END, chr(10) || chr(10) ORDER BY i), '') AS content,
     coalesce(list(line ORDER BY i) FILTER (WHERE i % 4 <> 0), []) AS parts FROM ln GROUP BY ALL)"""
 
@@ -167,7 +167,8 @@ def q03_chunks(spark: SparkSession, base: str) -> DataFrame:
 
 
 def q04_sentence_pack(spark: SparkSession, base: str) -> DataFrame:
-    text = F.regexp_replace(F.regexp_replace("text", "[^A-Za-z.!?]+", " "), "^ | $", "")
+    """Whole texts, in which each run of white space is one space."""
+    text = F.trim(F.regexp_replace("text", "[ \t\n\x0b\f\r]+", " "))
     docs = table(spark, base, "documents").where("text IS NOT NULL").select("doc_id", text.alias("t"))
     return docs.select("doc_id", F.posexplode(sec.pack_sentences(F.col("t"), 60, sec.count_words)).alias("pos", "part"))
 
@@ -339,6 +340,14 @@ def q27_sync_report(spark: SparkSession, base: str) -> DataFrame:
     return results.groupBy("action", "reason").agg(F.count("*").alias("n"))
 
 
+def q27_sync_totals(spark: SparkSession, base: str) -> DataFrame:
+    hits = _hits(spark, base)
+    n = F.length("heading") % 3
+    action = F.when(n == 0, "rewrite").when(n == 1, "no_change").otherwise("error")
+    outcome = hits.select("doc_file", "heading").distinct().select("doc_file", "heading", action.alias("action"), F.when(n == 2, "boom").alias("error"))
+    return rw.sync_report(rw.sync_results(hits, outcome))
+
+
 def q28_eval_rows(spark: SparkSession, base: str) -> DataFrame:
     p = F.split("key", "::")
     rows = _scores(spark, base).select(p[0].alias("doc_file"), p[1].alias("heading"), F.col("file_path").alias("file"), F.bround("score", 2).alias("score"))
@@ -414,7 +423,7 @@ ORACLE = {
     CASE WHEN len(parts) > 0 THEN {_fold_sql('parts', 'length(x.open)', 120, 2, "chr(10) || chr(10)")} ELSE [heading] END AS ch FROM sec),
   num AS (SELECT *, coalesce(sum(len(ch)) OVER (PARTITION BY doc_file, heading ORDER BY ordinal ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM made)
   SELECT doc_file, heading, CAST(before + k AS INTEGER) AS chunk_index, hash, ch[k + 1] AS content FROM (SELECT *, unnest(range(len(ch))) AS k FROM num)""",
-    "q04_sentence_pack": f"""WITH t AS (SELECT doc_id, regexp_replace(regexp_replace(text, '[^A-Za-z.!?]+', ' ', 'g'), '^ | $', '', 'g') AS t FROM documents WHERE text IS NOT NULL),
+    "q04_sentence_pack": f"""WITH t AS (SELECT doc_id, trim(regexp_replace(text, '[ \\t\\n\\x0b\\f\\r]+', ' ', 'g'), ' ') AS t FROM documents WHERE text IS NOT NULL),
   s AS (SELECT doc_id, t, string_split(regexp_replace(t, '([.!?]) +', '\\1' || chr(1), 'g'), chr(1)) AS parts FROM t),
   p AS (SELECT doc_id, CASE WHEN len(string_split(t, ' ')) <= 60 THEN [t] ELSE {_fold_sql('parts', "len(string_split(x.open, ' '))", 60, 0, "' '")} END AS ps FROM s)
   SELECT doc_id, CAST(unnest(range(len(ps))) AS INTEGER) AS pos, unnest(ps) AS part FROM p""",
@@ -470,6 +479,7 @@ ORACLE = {
     "q27_sync_report": f"""WITH {_HITS}, a AS (SELECT *, CASE length(heading) % 3 WHEN 0 THEN 'rewrite' WHEN 1 THEN 'no_change' ELSE 'error' END AS action FROM hits)
   SELECT action, CASE WHEN action = 'error' THEN 'boom' WHEN action <> 'rewrite' THEN 'No changes needed' WHEN change_type = 'deleted' THEN 'File deleted — removed references from section'
     WHEN change_type = 'renamed' THEN 'File renamed — section reviewed/rewritten' ELSE 'Code changes — section rewritten' END AS reason, count(*) AS n FROM a GROUP BY ALL""",
+    "q27_sync_totals": f"""WITH {_HITS} SELECT count(*) AS results, count(*) FILTER (WHERE length(heading) % 3 = 0) AS rewrites, count(*) FILTER (WHERE length(heading) % 3 = 2) AS errors FROM hits""",
     "q28_eval_rows": f"""WITH {_SCORES} SELECT split_part(key, '::', 1) AS doc_file, split_part(key, '::', 2) AS heading, count(*) AS n, max(round_even(score, 2)) AS best FROM sc GROUP BY ALL""",
     "q29_docs_by_folder": """WITH d AS (SELECT DISTINCT file_path AS f FROM sections) SELECT CASE WHEN contains(f, '/') THEN split_part(f, '/', 1) ELSE '(root)' END AS folder, string_agg(f, ',' ORDER BY f) AS files FROM d GROUP BY ALL""",
     "q30_cosine": """WITH e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS x FROM embeddings)

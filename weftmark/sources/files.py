@@ -93,7 +93,7 @@ class IgnoreTree:
     def rules(self, folder: str) -> list[Rule]:
         if folder not in self.known:
             try:
-                lines = (self.root / folder / ".gitignore").read_text(encoding="utf-8").splitlines()
+                lines = (self.root / folder / ".gitignore").read_text(encoding="utf-8").split("\n")
             except (OSError, ValueError):
                 lines = []
             self.known[folder] = parse_rules(lines)
