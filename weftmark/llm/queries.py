@@ -39,6 +39,15 @@ def p3_found(spark: SparkSession, base: str) -> DataFrame:
     return pieces.where(F.col("piece") == 0).select("file_path", "heading", "chunk_index")
 
 
+def p3_texts(spark: SparkSession, base: str) -> DataFrame:
+    """What the pieces of a key make up without their overlaps: SQL knows the content."""
+    bare = F.expr("substring(text, overlap + 1)")
+    one = F.struct("piece", bare.alias("t"), F.length("text").alias("n"), "overlap")
+    rows = split_oversized(table(spark, base, "sections")).groupBy("file_path", "heading", "chunk_index").agg(F.array_sort(F.collect_list(one)).alias("r"))
+    within = F.forall("r", lambda r: (r["n"] <= 2000) & (r["overlap"] <= 200))
+    return rows.select("file_path", "heading", "chunk_index", F.md5(F.array_join(F.transform("r", lambda r: r["t"]), "")).alias("text"), within.alias("within"))
+
+
 def p4_found(spark: SparkSession, base: str) -> DataFrame:
     scored, _ = score_files(table(spark, base, "code_elements"))
     return scored.where(F.col("score") > 0).select("file_path")
@@ -73,6 +82,7 @@ QUERIES = {
     "p1_keys": p1_keys,
     "p3_found": p3_found,
     "p3_pieces": p3_pieces,
+    "p3_texts": p3_texts,
     "p4_found": p4_found,
     "p4_scores": p4_scores,
     "p6_ids": p6_ids,
@@ -88,4 +98,6 @@ SELECT file_path, heading, chunk_index, CAST(ceil(length(content) / 2000.0) AS B
   length(content) AS chars FROM cur WHERE regexp_matches(content, '[^\\s]')""",
     "p3_found": f"""WITH cur AS ({_CURRENT})
 SELECT file_path, heading, chunk_index FROM cur WHERE length(content) > 2000""",
+    "p3_texts": f"""WITH cur AS ({_CURRENT})
+SELECT file_path, heading, chunk_index, md5(content) AS text, TRUE AS within FROM cur WHERE length(content) > 2000""",
 }

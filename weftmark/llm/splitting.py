@@ -24,7 +24,7 @@ _WORD = re.compile(r"[^\W\d_]{2,}")
 _GAP = re.compile(r"(?P<par>\n[^\S\n]*\n\s*)|(?P<line>\n[^\S\n]*)|[.!?…]+[\"'”’)\]]*(?P<end>\s+)|[。！？]+[」』）]*(?P<cjk>)")
 _FENCE = re.compile(r"^[^\S\n]*(```|~~~)", re.M)
 _SPACE = re.compile(r"\s+")
-#: What a gap's kind adds to its depth: paragraphs first, lines within code fences last.
+#: The order of kinds among gaps of one depth: paragraphs first, lines within code fences last.
 _BONUS = {"par": 0.2, "end": 0.0, "cjk": 0.0, "line": 0.0, "code": -0.5}
 
 
@@ -91,13 +91,13 @@ def split_text(text: str, limit: int = 2000, overlap: int = 200) -> list[tuple[i
 
     A piece is what lies between two cuts, with the `overlap` characters before it at most, from a gap or a
     word on. Cuts are the deepest gaps of lexical cohesion among those that leave a piece of at least half
-    the room; where a window has no gap, the cut is at the last white space, and without that at the limit.
+    the room, of equally deep ones those between paragraphs, then the last; where a window has no gap, the cut is at the last white space, and without that at the limit.
     A text within the limit is one piece. Without the overlaps the pieces make up the text again.
     """
     if len(text) <= limit:
         return [(0, 0, text)]
     gaps, bonus = _gaps(text)
-    score = cohesion_depths(text, gaps) + np.asarray(bonus)
+    depth, kind = cohesion_depths(text, gaps), np.asarray(bonus)
     out, cut = [], 0
     while cut < len(text):
         back = 0
@@ -115,7 +115,7 @@ def split_text(text: str, limit: int = 2000, overlap: int = 200) -> list[tuple[i
         else:
             lo, hi = bisect_left(gaps, cut + room // 2), bisect_right(gaps, cut + room)
             if lo < hi:
-                best = lo + int(np.lexsort((np.arange(hi - lo), score[lo:hi]))[-1])
+                best = lo + int(np.lexsort((np.arange(hi - lo), kind[lo:hi], depth[lo:hi]))[-1])
                 end = gaps[best]
             else:
                 end = _hard(text, cut + room // 2, cut + room)
