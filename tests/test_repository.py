@@ -162,6 +162,11 @@ def test_settings(tmp_path, monkeypatch):
 
 def test_commands_need_what_comes_before(tmp_path, capsys):
     assert main(["--root", str(tmp_path), "guide"]) == 0
+    assert main(["--root", str(tmp_path), "workflow"]) == 0
+    import yaml
+
+    flow = yaml.safe_load((tmp_path / ".github/workflows/weftmark.yml").read_text())
+    assert any("weftmark sync" in s.get("run", "") for s in flow["jobs"]["mend"]["steps"])
     assert main(["--root", str(tmp_path), "analyze"]) == 1
     assert main(["--root", str(tmp_path), "sync"]) == 1
 

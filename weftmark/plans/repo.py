@@ -119,12 +119,47 @@ def scope_repo(spark: SparkSession, root: str, chosen: list[str] | None = None)
     return docs
 
 
+#: A workflow for a repository's checks: it mends the documents of a pull request and fails if one can't be mended.
+WORKFLOW = """\
+name: documentation
+on: [pull_request]
+jobs:
+  mend:
+    runs-on: ubuntu-latest
+    permissions: {contents: write}
+    steps:
+      - uses: actions/checkout@v4
+        with: {fetch-depth: 0, ref: "${{ github.head_ref }}"}
+      - uses: actions/setup-python@v5
+        with: {python-version: "3.13"}
+      - run: pip install pyspark pandas pyarrow pyyaml
+      - run: python -m weftmark sync --base "origin/${{ github.base_ref }}"
+        env:
+          LLM_URL: ${{ vars.LLM_URL }}
+          LLM_MODEL: ${{ vars.LLM_MODEL }}
+          LLM_API_KEY: ${{ secrets.LLM_API_KEY }}
+      - run: |
+          git config user.name weftmark
+          git config user.email weftmark@users.noreply.github.com
+          git add -A
+          git diff --cached --quiet || (git commit -m "Mend documentation" && git push)
+"""
+
+
+def write_workflow(root: str) -> Path:
+    """Writes the workflow of a repository, over an older one of its name."""
+    at = Path(root) / ".github" / "workflows" / "weftmark.yml"
+    at.parent.mkdir(parents=True, exist_ok=True)
+    atomic_write(at, WORKFLOW)
+    return at
+
+
 def format_report(report: dict[str, int]) -> str:
     return " · ".join(f"{k} {v}" for k, v in report.items())
 
 
 def main(args: list[str] | None = None) -> int:
-    """weftmark scope|analyze [--full] [--eval]|sync [--base SHA]|guide, in the current folder or --root."""
+    """weftmark scope|analyze [--full] [--eval]|sync [--base SHA]|workflow|guide, in the current folder or --root."""
     import argparse
 
     from weftmark.session import local_session
@@ -137,11 +172,15 @@ def main(args: list[str] | None = None) -> int:
     run.add_argument("--full", action="store_true")
     run.add_argument("--eval", action="store_true")
     commands.add_parser("sync").add_argument("--base")
+    commands.add_parser("workflow")
     commands.add_parser("guide")
     given = parser.parse_args(args)
     if given.command == "guide":
         print("1. weftmark scope   choose the documents\n2. weftmark analyze link them to code\n3. weftmark sync    mend them after code changes")
         return 0
+    if given.command == "workflow":
+        print(write_workflow(given.root))
+        return 0
     if given.command == "analyze" and settings_path(given.root) is None:
         print("no settings: run scope first")
         return 1

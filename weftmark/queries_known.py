@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftmark.config import Config
+from weftmark.operators import changes as ch
 from weftmark.operators import docmap
 from weftmark.operators import retrieval as rt
 from weftmark.operators import rewriting as rw
@@ -116,6 +117,17 @@ def q13_all_files_fallback(spark: SparkSession, base: str) -> DataFrame:
     return kept.select("key", "file_path", "fallback")
 
 
+def q18_renames_with_edits(spark: SparkSession, base: str) -> DataFrame:
+    """Files that moved and had a word changed in every so many, against what is gone; each new path once."""
+    f = _files(spark, base).where("content IS NOT NULL")
+    n = F.length("file_path") + F.length("content")
+    words = F.split("content", " ")
+    edited = F.array_join(F.transform(words, lambda w, i: F.when(i % (F.lit(40) + F.length("file_path") * 7 % 200) == 20, F.lit("edited")).otherwise(w)), " ")
+    new = f.where(n % 3 > 0).withColumn("content", edited).withColumn("file_path", F.concat(F.lit("moved/"), F.col("file_path")))
+    got = ch.similar_renames(f.where(n % 5 > 0), new)
+    return got.select("path", "old_path", F.round("similarity", 6).alias("similarity"))
+
+
 def q42_ledger_runs(spark: SparkSession, base: str) -> DataFrame:
     """Orders as they come out of three runs of a ledger: one that fails, and numbers that are committed late."""
     orders = table(spark, base, "orders").select("o_orderkey", "o_custkey")
@@ -287,6 +299,16 @@ ORACLE = {
     "q13_all_files_fallback": """WITH good AS (SELECT DISTINCT key FROM candidate_results WHERE rerank_scores IS NOT NULL AND NOT isnan(rerank_scores)),
   f AS (SELECT DISTINCT file_path FROM code_elements WHERE starts_with(id, 'file:'))
   SELECT key, file_path, TRUE AS fallback FROM (SELECT DISTINCT key FROM candidate_results WHERE key NOT IN (SELECT key FROM good)), f""",
+    "q18_renames_with_edits": r"""WITH fs AS (SELECT file_path, max(code) AS content FROM code_elements WHERE starts_with(id, 'file:') GROUP BY ALL HAVING max(code) IS NOT NULL),
+  f AS (SELECT *, length(file_path) + length(content) AS n FROM fs),
+  x AS (SELECT 'new' AS side, 'moved/' || file_path AS name, array_to_string(list_transform(string_split(content, ' '), lambda w, i: CASE WHEN (i - 1) % (40 + length(file_path) * 7 % 200) = 20 THEN 'edited' ELSE w END), ' ') AS t FROM f WHERE n % 3 > 0
+    UNION ALL SELECT 'old', file_path, content FROM f WHERE n % 5 > 0),
+  w AS (SELECT side, name, list_filter(regexp_split_to_array(t, '[ \t\n\x0b\f\r]+'), lambda y: y <> '') AS ws FROM x),
+  g AS (SELECT side, name, list_distinct(list_transform(range(1, greatest(len(ws) - 4, 1) + 1), lambda i: array_to_string(ws[i:i + 4], ' '))) AS gs FROM w WHERE len(ws) > 0),
+  e AS (SELECT side, name, len(gs) AS k, unnest(gs) AS run FROM g),
+  s AS (SELECT b.name AS path, a.name AS old_path, count(*) AS shared, any_value(a.k) AS ka, any_value(b.k) AS kb FROM e a JOIN e b USING (run) WHERE a.side = 'old' AND b.side = 'new' GROUP BY ALL),
+  j AS (SELECT path, old_path, shared / CAST(ka + kb - shared AS DOUBLE) AS sim FROM s)
+  SELECT path, old_path, round(sim, 6) AS similarity FROM j WHERE sim >= 0.8 QUALIFY row_number() OVER (PARTITION BY path ORDER BY sim DESC, old_path) = 1""",
     "q42_ledger_runs": "SELECT o_orderkey, CAST(1 AS BIGINT) AS times, o_custkey FROM orders",
     "q43_unified_diffs": f"WITH {_PART}, {_DIFFS} SELECT path, md5(diff) AS diff FROM d",
     "q44_diff_context": f"""WITH {_PART}, {_DIFFS} SELECT 'd' || (k % 50) AS doc_file, 'H' || (k % 7) AS heading, md5(string_agg('[File: ' || path || ']' || chr(10) || diff, chr(10) || chr(10) ORDER BY path)) AS context FROM d GROUP BY ALL""",
