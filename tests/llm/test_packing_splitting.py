@@ -141,3 +141,19 @@ def test_oversized_sections(spark):
     mine = sorted((r["piece"], r["n_pieces"], r["text"][r["overlap"] :]) for r in got if r["heading"] == "long")
     assert [p for p, _, _ in mine] == list(range(mine[0][1])) and "".join(t for _, _, t in mine) == "word " * 1000
     assert split_oversized(feed(spark, data).limit(0)).count() == 0
+
+
+def test_cuts_are_at_the_deepest_valley_of_their_window():
+    from weftmark.llm.splitting import _gaps
+
+    rng = random.Random(8)
+    topics = [[f"{t}{i}" for i in range(12)] for t in ("river", "engine", "ledger", "garden")]
+    text = "\n\n".join(" ".join(rng.choice(topics[n // 5 % 4]) + rng.choice((" ", ". ")) for _ in range(rng.randrange(20, 60))) for n in range(60))
+    gaps, _ = _gaps(text)
+    depth = dict(zip(gaps, cohesion_depths(text, gaps)))
+    pieces = split_text(text, 1500, 200)
+    for start, back, piece in pieces[:-1]:
+        cut, end = start + back, start + len(piece)
+        window = [g for g in gaps if cut + (1500 - back) // 2 <= g <= cut + 1500 - back]
+        assert window and depth[end] == max(depth[g] for g in window)
+    assert len(pieces) > 5

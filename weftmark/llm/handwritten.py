@@ -12,7 +12,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from weftmark.session import shared_dir
+from weftmark.session import stored
 
 RAW, SHAPE, PATH, COPIES, HEADER = 2048, 2048, 1024, 4, 4096
 #: Sizes of a path component and of the number of copies, beside n-gram views of length 1 and 1.5.
@@ -272,12 +272,9 @@ def score_files(code_elements: DataFrame, sample: int = 2500, part: int = 12_000
     Which scan is the last is found on hashes. Bodies are compared in the JVM; Python reads each file's last code
     once. Facts of files, without their code, are checkpointed, as the sample and the result both need them.
     """
-    spark = code_elements.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(f"{shared_dir(spark)}/weftmark")
     whole = F.col("id") == F.concat(F.lit("file:"), F.col("file_path"))
     files = code_elements.where(whole & F.col("code").rlike(r"\S")).select("file_path", "scanned_at", "code", F.xxhash64("code").alias("_hash"))
-    facts = with_copies(_last(files.withColumn("body", body_of(F.col("code"), F.col("file_path"))), "body")).checkpoint()
+    facts = stored(with_copies(_last(files.withColumn("body", body_of(F.col("code"), F.col("file_path"))), "body")))
     some = facts.select("file_path", "_hash", "n_repos").orderBy(F.xxhash64("file_path"), "file_path").limit(sample)
     tail = part // 6
     seen = F.when(F.length("code") <= part, F.col("code")).otherwise(F.concat(F.substring("code", 1, part - tail), F.lit("\n"), F.right("code", F.lit(tail))))

@@ -152,6 +152,7 @@ class Index:
         self.spans = [p.span * (2 if sum(map(bool, map(_LETTER.match, w))) * 2 > len(w) else 1) for _, w in words]
         self.need = np.array([self._needed(int(n)) for n in self.own], np.float64)
         self.spans = [min(s, max(1, int(np.ceil(n)))) for s, n in zip(self.spans, self.need)]
+        self.last: tuple[np.ndarray, np.ndarray, np.ndarray] | None = None
         # runs of own words, of two for small items
         self.runs = []
         for t, own in zip(self.tokens, self.own):
@@ -310,6 +311,14 @@ class Index:
         """
         return [(k, at) for k, at in zip(items.tolist(), self.held(tokens, items)) if len(at) >= self.p.kept * self.need[k]]
 
+    def _sorted(self, tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Runs of three words of a text in order, and their places; those of the last text are kept."""
+        if self.last is None or self.last[0] is not tokens:
+            key = self._triples(tokens)
+            at = np.argsort(key, kind="stable")
+            self.last = (tokens, key[at], at)
+        return self.last[1:]
+
     def _triples(self, tokens: np.ndarray) -> np.ndarray:
         return (tokens[:-2] * self.size + tokens[1:-1]) * self.size + tokens[2:]
 
@@ -323,12 +332,16 @@ class Index:
         own = self.runs[item]
         if not len(own) or len(tokens) < n:  # an item of single words
             return tokens
-        run = self._triples(tokens) if n == 3 else tokens[:-1] * self.size + tokens[1:]
-        hit = np.flatnonzero(own[np.minimum(np.searchsorted(own, run), len(own) - 1)] == run)
-        keep = np.zeros(len(tokens) + 1, np.int64)
-        reach = self.p.span + n
-        np.add.at(keep, np.maximum(hit - reach, 0), 1)
-        np.add.at(keep, np.minimum(hit + n + reach, len(tokens)), -1)
+        if n == 3:
+            keys, at = self._sorted(tokens)
+            lo, hi = np.searchsorted(keys, own, "left"), np.searchsorted(keys, own, "right")
+            m = hi - lo
+            hit = at[np.repeat(lo, m) + np.arange(m.sum()) - np.repeat(np.cumsum(m) - m, m)]
+        else:
+            run = tokens[:-1] * self.size + tokens[1:]
+            hit = np.flatnonzero(own[np.minimum(np.searchsorted(own, run), len(own) - 1)] == run)
+        reach, end = self.p.span + n, len(tokens)
+        keep = np.bincount(np.maximum(hit - reach, 0), minlength=end + 1) - np.bincount(np.minimum(hit + n + reach, end), minlength=end + 1)
         inside = np.cumsum(keep[:-1]) > 0
         first = inside & ~np.concatenate([[False], inside[:-1]])
         at = np.flatnonzero(inside)
@@ -336,8 +349,11 @@ class Index:
 
     def held(self, tokens: np.ndarray, items: np.ndarray) -> list[np.ndarray]:
         """For each item the places of its own words that lie in runs of three that the text has, or all if it is small."""
-        key = np.unique(self._triples(tokens))
-        lo, hi = np.searchsorted(self.triples, key, "left"), np.searchsorted(self.triples, key, "right")
+        key = self._sorted(tokens)[0]
+        key = key[np.concatenate([[True], key[1:] != key[:-1]])] if len(key) else key
+        lo = np.searchsorted(self.triples, key, "left")
+        some = np.flatnonzero(self.triples[np.minimum(lo, len(self.triples) - 1)] == key) if len(self.triples) else np.zeros(0, np.int64)
+        lo, hi = lo[some], np.searchsorted(self.triples, key[some], "right")
         n = hi - lo
         at = self.places[np.repeat(lo, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)]
         at = np.unique((at[:, None] + np.arange(3)).ravel())

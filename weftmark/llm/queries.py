@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import base64
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -10,7 +14,7 @@ from weftmark.llm.handwritten import score_files
 from weftmark.llm.leakage import find_leaks
 from weftmark.llm.packing import fill_containers
 from weftmark.llm.splitting import split_oversized
-from weftmark.llm.tokens import encode_texts
+from weftmark.llm.tokens import TOKENIZERS, VOCABULARY, encode_texts
 from weftmark.session import table
 
 _CURRENT = """SELECT file_path, heading, chunk_index, content FROM sections
@@ -61,6 +65,20 @@ def p6_ids(spark: SparkSession, base: str) -> DataFrame:
     return encode_texts(table(spark, base, "documents"))
 
 
+def p6_texts(spark: SparkSession, base: str) -> DataFrame:
+    """The texts that the ids of all documents stand for: SQL knows them."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        with open(f"{TOKENIZERS}/{VOCABULARY}", "rb") as f:
+            words = {int(rank): base64.b64decode(word) for word, rank in map(bytes.split, f)}
+        for pdf in batches:
+            pdf["text"] = [b"".join(words[i] for i in ids).decode("utf-8") for ids in pdf.pop("ids")]
+            yield pdf
+
+    texts = encode_texts(table(spark, base, "documents")).mapInPandas(run, "doc_id bigint, text string")
+    return texts.select("doc_id", F.md5("text").alias("text"))
+
+
 def p7_found(spark: SparkSession, base: str) -> DataFrame:
     return find_leaks(table(spark, base, "documents"), table(spark, base, "benchmark")).select("doc_id", "item_id")
 
@@ -86,6 +104,7 @@ QUERIES = {
     "p4_found": p4_found,
     "p4_scores": p4_scores,
     "p6_ids": p6_ids,
+    "p6_texts": p6_texts,
     "p7_found": p7_found,
     "p8_found": p8_found,
     "p8_rates": p8_rates,
@@ -98,6 +117,7 @@ SELECT file_path, heading, chunk_index, CAST(ceil(length(content) / 2000.0) AS B
   length(content) AS chars FROM cur WHERE regexp_matches(content, '[^\\s]')""",
     "p3_found": f"""WITH cur AS ({_CURRENT})
 SELECT file_path, heading, chunk_index FROM cur WHERE length(content) > 2000""",
+    "p6_texts": "SELECT doc_id, md5(coalesce(text, '')) AS text FROM documents",
     "p3_texts": f"""WITH cur AS ({_CURRENT})
 SELECT file_path, heading, chunk_index, md5(content) AS text, TRUE AS within FROM cur WHERE length(content) > 2000""",
 }
