@@ -118,3 +118,41 @@ def test_sync_results(spark, stored):
     got = rw.sync_results(hits, outcome)
     assert rows(got, "heading", "action", "reason") == [("API", "error", "boom"), ("Models", "rewrite", "File deleted — removed references from section")]
     assert rw.sync_report(got).first().asDict() == {"results": 2, "rewrites": 1, "errors": 1}
+
+
+def test_renames_with_edits(spark):
+    words = [f"w{i}" for i in range(200)]
+    schema = "file_path string, content string"
+    gone = spark.createDataFrame([("a.py", " ".join(words)), ("a2.py", " ".join(words)), ("b.py", "one two"), ("c.py", None), ("d.py", "  "), ("far.py", " ".join(words[:60]))], schema)
+    new = spark.createDataFrame(
+        [("n1.py", "\n".join(words[:100] + ["x"] + words[101:])), ("n2.py", " ".join("y" if i % 12 == 0 else w for i, w in enumerate(words))), ("n3.py", "one\ttwo"), ("n4.py", None), ("n5.py", "")], schema,
+    )
+    got = {r["path"]: (r["old_path"], round(r["similarity"], 3)) for r in ch.similar_renames(gone, new).collect()}
+    assert got == {"n1.py": ("a.py", round(191 / 201, 3)), "n3.py": ("b.py", 1.0)}
+    assert ch.similar_renames(gone.limit(0), new).count() == 0 and ch.similar_renames(gone, new.limit(0)).count() == 0
+    changes = {(r["path"], r["change_type"], r["old_path"]) for r in ch.snapshot_diff(gone, new, similar=0.8).collect()}
+    # an exact copy of blank contents is a rename; what is like neither is deleted or added
+    assert ("n1.py", "renamed", "a.py") in changes and ("a2.py", "deleted", None) in changes and ("far.py", "deleted", None) in changes
+    assert not any(p == "a.py" for p, _, _ in changes) and not any(p == "n2.py" for p, _, _ in changes)
+
+
+def test_no_similar_pair_is_lost(spark):
+    """Against all pairs, with runs that most files hold."""
+    import random
+
+    rng = random.Random(4)
+    head = "this file is part of the library and may be used freely by anyone who likes it".split()
+    texts = [head + [rng.choice("abcdefgh") for _ in range(rng.randrange(3, 40))] for _ in range(60)]
+    edited = [[rng.choice("xyz") if rng.random() < rng.choice((0.0, 0.02, 0.1)) else w for w in t] for t in texts]
+    frames = [spark.createDataFrame([(f"{n}{i}", " ".join(t)) for i, t in enumerate(ts)], "file_path string, content string") for n, ts in (("a", texts), ("b", edited))]
+
+    def runs(t):
+        return {tuple(t[i : i + 5]) for i in range(max(1, len(t) - 4))}
+
+    want = {}
+    for j, e in enumerate(edited):
+        best = sorted((-len(runs(t) & runs(e)) / len(runs(t) | runs(e)), f"a{i}") for i, t in enumerate(texts))[0]
+        if -best[0] >= 0.6:
+            want[f"b{j}"] = (best[1], round(-best[0], 9))
+    got = {r["path"]: (r["old_path"], round(r["similarity"], 9)) for r in ch.similar_renames(*frames, least=0.6).collect()}
+    assert got == want and len(want) > 20

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from weftmark.session import stored
+
 
 def parse_name_status(lines: DataFrame, column: str = "value") -> DataFrame:
     """(path, change_type, old_path) of tab-separated name-status lines.
@@ -80,7 +82,7 @@ def similar_renames(gone: DataFrame, new: DataFrame, least: float = 0.8, words:
         s = df.select(F.col("file_path").alias(side), shingles(F.col("content"), words).alias(f"{side}_set"))
         return s.where(F.size(f"{side}_set") > 0).withColumn(f"{side}_n", F.size(f"{side}_set"))
 
-    a, b = sets(gone, "old"), sets(new, "new")
+    a, b = stored(sets(gone, "old")), stored(sets(new, "new"))  # read three times each
     flat = a.select(F.lit("old").alias("side"), F.col("old").alias("name"), F.col("old_n").alias("n"), F.explode("old_set").alias("run")).unionByName(
         b.select(F.lit("new").alias("side"), F.col("new").alias("name"), F.col("new_n").alias("n"), F.explode("new_set").alias("run"))
     )

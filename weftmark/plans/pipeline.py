@@ -14,7 +14,8 @@ from weftmark.operators import rewriting as rw
 from weftmark.operators import sections as sec
 from weftmark.operators.incremental import KEY, detect_changes, merge_unchanged
 from weftmark.operators.retrieval import candidates
-from weftmark.plans.providers import Judge, LexicalScorer, RenamingRewriter, Rewriter, Scorer, ThresholdJudge, stored
+from weftmark.plans.providers import Judge, LexicalScorer, RenamingRewriter, Rewriter, Scorer, ThresholdJudge
+from weftmark.session import stored
 
 
 @dataclass(frozen=True)
@@ -56,7 +57,7 @@ def analyze(
     todo = detected.where(~F.col("unchanged"))
     answers = scorer.scores(todo, files, cfg)
     if getattr(scorer, "paid", False):
-        answers = stored(answers)
+        answers = stored(answers)  # nothing that reads them asks again
     failed = scorer.failed(todo, answers)
     scores = answers.where("file_path IS NOT NULL").select(*KEY, "file_path", "score")
     if failed is not None:

@@ -21,7 +21,6 @@ from weftmark.functions.text import basename
 from weftmark.operators.incremental import KEY
 from weftmark.operators.retrieval import lexical_scores, rerank_document, rerank_query
 from weftmark.operators.rewriting import _filled, prompts, rewrite_prompt
-from weftmark.session import shared_dir
 
 
 class Scorer(Protocol):
@@ -165,14 +164,6 @@ def asked(width: int, ask: Callable[[dict], list[tuple]], columns: list[str]) ->
     return run
 
 
-def stored(df: DataFrame) -> DataFrame:
-    """Answers that were paid for, written once, so that nothing that reads them asks again."""
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(f"{shared_dir(df.sparkSession)}/weftmark")
-    return df.checkpoint()
-
-
 #: Characters of files' texts that are sent to every task; more are joined by batch.
 SENT = 32_000_000
 

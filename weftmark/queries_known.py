@@ -23,9 +23,9 @@ from weftmark.operators.incremental import KEY
 from weftmark.operators.ledger import Ledger
 from weftmark.operators.symbols import extracted, symbols_of, variables_of
 from weftmark.plans import pipeline
-from weftmark.plans.providers import ThresholdJudge, stored
+from weftmark.plans.providers import ThresholdJudge
 from weftmark.queries import _DETECTED, _GAP, _cached, _current, _files, _fold_sql, _scores
-from weftmark.session import shared_dir, table
+from weftmark.session import shared_dir, stored, table
 from weftmark.sources.files import ignored, parse_rules
 
 

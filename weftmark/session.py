@@ -37,5 +37,13 @@ def shared_dir(spark: SparkSession) -> str:
     return "file://" + os.path.join(tempfile.gettempdir(), f"weftmark-{os.getpid()}")
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """`df`, computed once and checkpointed in the shared folder, for what is used several times and costs much."""
+    sc = df.sparkSession.sparkContext
+    if sc.getCheckpointDir() is None:
+        sc.setCheckpointDir(f"{shared_dir(df.sparkSession)}/weftmark")
+    return df.checkpoint()
+
+
 def table(spark: SparkSession, base: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{base}/{name}.parquet")
