@@ -90,7 +90,7 @@ def pack(sizes: list[int], capacity: int) -> list[list[int]]:
     whatever is closed: the window count rises by one and the rest is differenced anew, until every window fits.
     Every item gets its window from differencing.
     """
-    pool, closed, slack = sorted(range(len(sizes)), key=lambda i: (-sizes[i], i)), [], max(1, capacity // 400)
+    pool, closed, slack = sorted(range(len(sizes)), key=lambda i: (-sizes[i], i)), [], max(1, capacity // 200)
     need = lower_bound([sizes[i] for i in pool], capacity)
     while pool:
         windows = [[pool[i] for i in w] for w in differencing([sizes[i] for i in pool], need) if w]
@@ -106,7 +106,7 @@ def pack(sizes: list[int], capacity: int) -> list[list[int]]:
         elif slack <= capacity // 16:
             slack *= 2
         else:
-            need, slack = need + 1, max(1, capacity // 400)
+            need, slack = need + 1, max(1, capacity // 200)
     return closed
 
 
