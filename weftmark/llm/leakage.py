@@ -8,7 +8,8 @@ import re
 import unicodedata
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
+from itertools import repeat
 
 import numpy as np
 import pandas as pd
@@ -29,6 +30,9 @@ _STOP = re.compile(r"[.!?:;\n]+(?:\s|$)")
 #: Windows walked at once, which bounds the memory that a very long text takes.
 WALKED = 1 << 16
 
+#: Words of texts, once for each of their items, whose meetings are held at once; a longer text meets its items one by one.
+MET = 1 << 22
+
 #: Ids of a token outside the items' vocabulary, of the padding after a window, and of a masked item token.
 UNKNOWN, PAD, MASKED = 0, 1, 2
 
@@ -99,7 +103,9 @@ class Table:
 
     def __init__(self, keys: np.ndarray, owners: np.ndarray) -> None:
         both = np.unique(np.stack([keys, owners], 1), axis=0) if len(keys) else np.zeros((0, 2), np.int64)
-        self.keys, self.owners = both[:, 0].copy(), both[:, 1].copy()
+        self.owners = both[:, 1].copy()
+        self.keys, first = np.unique(both[:, 0], return_index=True)
+        self.first = np.append(first, len(both))
         self.held = np.zeros(1 << PLACES, bool)
         self.held[self._place(self.keys)] = True
 
@@ -107,15 +113,58 @@ class Table:
     def _place(keys: np.ndarray) -> np.ndarray:
         return (keys.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - PLACES)).view(np.int64)
 
+    def has(self, keys: np.ndarray) -> np.ndarray:
+        """Which keys the table may have; none that it has is left out."""
+        return self.held[self._place(keys)]
+
     def look(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(positions in `keys`, owners) of every match."""
-        some = np.flatnonzero(self.held[self._place(keys)])
-        lo, hi = np.searchsorted(self.keys, keys[some], "left"), np.searchsorted(self.keys, keys[some], "right")
-        n = hi - lo
+        some = np.flatnonzero(self.has(keys))
+        if not len(some):
+            return some, some
+        at = np.minimum(np.searchsorted(self.keys, keys[some]), len(self.keys) - 1)
+        same = self.keys[at] == keys[some]
+        some, lo, n = some[same], self.first[at[same]], np.diff(self.first)[at[same]]
         inner = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
         return np.repeat(some, n), self.owners[np.repeat(lo, n) + inner]
 
 
+@dataclass
+class Range:
+    """Where an alignment is sought: item words from `top` to `bottom`, words of the text from `lo` to `hi`."""
+
+    top: int
+    bottom: int
+    lo: int
+    hi: int
+    at: np.ndarray | None  #: places in the item of the runs of three that are shared here, None for spans without any
+    span: tuple[int, ...] = ()  #: the best alignment once it is known: -score, ends and starts in item and text, edits
+
+    def kind(self) -> tuple[int, int]:
+        """Ranges of about the same size are aligned side by side."""
+        n = self.bottom - self.top
+        return n >> 5 if n > 31 else (n >> 3) - 4, self.hi - self.lo
+
+    def without(self, mine: np.ndarray) -> bool:
+        """Whether anything is left to align with, now that item words are masked."""
+        self.span = ()
+        if self.at is not None:
+            self.at = self.at[mine[self.at[:, None] + np.arange(3)].min(1) > MASKED]
+            if len(self.at):
+                self.top, self.bottom = int(self.at[0]), int(self.at[-1]) + 3
+        return self.at is None or len(self.at) > 0
+
+
+@dataclass
+class Meeting:
+    """A text and an item that share runs of words."""
+
+    item: int
+    text: np.ndarray  #: the parts of the text around the runs, each after an unknown word
+    words: np.ndarray  #: places of the item's words in runs, or of all if runs may be broken
+    ranges: list[Range]
+
+
 @dataclass
 class Index:
     """Items in LSH tables, by windows of a size that goes by the item's; built once per worker from the items alone.
@@ -152,7 +201,6 @@ class Index:
         self.spans = [p.span * (2 if sum(map(bool, map(_LETTER.match, w))) * 2 > len(w) else 1) for _, w in words]
         self.need = np.array([self._needed(int(n)) for n in self.own], np.float64)
         self.spans = [min(s, max(1, int(np.ceil(n)))) for s, n in zip(self.spans, self.need)]
-        self.last: tuple[np.ndarray, np.ndarray, np.ndarray] | None = None
         # runs of own words, of two for small items
         self.runs = []
         for t, own in zip(self.tokens, self.own):
@@ -162,13 +210,16 @@ class Index:
                 self.runs.append(np.unique(pair[ok]))
             else:
                 self.runs.append(np.unique(pair[:-1][ok[:-1] & ok[1:]] * self.size + t[2:][ok[:-1] & ok[1:]]))
-        # runs of three own words at each place of all items, for the bound before alignment
+        # runs of three own words at each place of all items
         flat = np.concatenate([x for t in self.tokens for x in (t, [MASKED, MASKED])]).astype(np.int64) if self.tokens else np.zeros(0, np.int64)
         self.begin = np.cumsum([0, *(len(t) + 2 for t in self.tokens)])
-        triples = self._triples(flat)
-        ok = np.flatnonzero((flat[:-2] != MASKED) & (flat[1:-1] != MASKED) & (flat[2:] != MASKED))
-        self.places = ok[np.argsort(triples[ok], kind="stable")]
-        self.triples = triples[self.places]
+        places = self._threes(flat)
+        self.threes = Table(self._triples(flat)[places], places)
+        own = [np.unique(t[t > MASKED]) + k * self.size for k, t in enumerate(self.tokens)]
+        words_of = np.concatenate(own) if own else np.zeros(0, np.int64)
+        self.words = Table(words_of, np.zeros(len(words_of), np.int64))
+        self.small = self.own < p.windows[0][0]
+        self.wide = np.array([bool(few) or s < 6 for few, s in zip(self.small, self.spans)], bool)
         self._tables()
 
     def _needed(self, own: int) -> float:
@@ -222,6 +273,7 @@ class Index:
         self.bits = rng.integers(0, 2, (p.walks, steps, self.size), np.uint8)
         self.bits[..., PAD] = 1
         self.value = rng.integers(-(2**62), 2**62, self.size, np.int64)
+        self.weight = np.random.default_rng([p.seed, 1]).integers(-(2**62), 2**62, steps, np.int64) | 1  # apart, or the samples would be others
         self.chosen = {
             w: [[set(rng.choice(2 * w, samples[w], replace=False).tolist()) for _ in range(p.tables)] for _ in range(p.walks)] for w in self.sizes
         }
@@ -245,17 +297,17 @@ class Index:
         """
         p = self.p
         for walk in range(p.walks):
-            at = starts.astype(np.int32)
+            at = starts.astype(np.int64)
             keys = {(w, t): np.zeros(len(starts), np.int64) for w in sizes for t in range(p.tables)}
             for step in range(2 * max(sizes)):
-                now = tokens[at]
-                uses = [(w, t) for w in sizes for t in range(p.tables) if step in self.chosen[w][walk][t]]
+                now = tokens.take(at)
+                uses = [keys[w, t] for w in sizes for t in range(p.tables) if step in self.chosen[w][walk][t]]
                 if uses:
-                    value = self.value[now]
-                    for x in uses:
-                        keys[x] *= MIX
-                        keys[x] += value
-                at += self.bits[walk, step][now]
+                    value = self.value.take(now)
+                    value *= self.weight[step]
+                    for key in uses:
+                        key += value
+                at += self.bits[walk, step].take(now)
             for (w, t), k in keys.items():
                 yield w, walk * p.tables + t, k
 
@@ -269,7 +321,7 @@ class Index:
 
     def padded(self, tokens: np.ndarray) -> np.ndarray:
         """Tokens with as many paddings as a walk can run over their end."""
-        return np.concatenate([tokens, np.full(2 * max([2, *self.sizes]), PAD)]).astype(np.int32)
+        return np.concatenate([tokens, np.full(2 * max([2, *self.sizes]), PAD)]).astype(np.int64)
 
     def encode(self, words: list[str]) -> np.ndarray:
         get = self.vocabulary.get
@@ -302,44 +354,120 @@ class Index:
                 mark(some, self.runs_of(padded, some, g), table)
         return found
 
-    def enough(self, tokens: np.ndarray, items: np.ndarray) -> list[tuple[int, np.ndarray]]:
-        """Of `items`, those that share enough runs of three words with the text to hold what is needed, with `held`.
+    def _triples(self, tokens: np.ndarray) -> np.ndarray:
+        return (tokens[:-2] * self.size + tokens[1:-1]) * self.size + tokens[2:]
+
+    def _threes(self, tokens: np.ndarray) -> np.ndarray:
+        """Where three words in a row are known and not masked."""
+        known = tokens > MASKED
+        return np.flatnonzero(known[:-2] & known[1:-1] & known[2:])
 
-        An edit takes at most three words from such runs, itself and a run of two beside it, so that a passage with
+    def enough(self, tokens: np.ndarray, items: np.ndarray) -> list[Meeting]:
+        """Of `items`, those that share enough runs of three words with the text to hold what is needed."""
+        row = np.zeros(len(items), np.int64)
+        return [x for x in self.meetings(tokens, row, row, row + len(tokens), items) if x]
+
+    def meetings(
+        self, tokens: np.ndarray, row: np.ndarray, begin: np.ndarray, end: np.ndarray, item: np.ndarray, sift: bool = True
+    ) -> list[Meeting | None]:
+        """For pairs, in order, of a text `tokens[begin:end]`, the `row`th, and an item what they share; with `sift` None if that isn't enough.
+
+        An edit takes at most three words from runs of three, itself and a run of two beside it, so that a passage with
         one edit in eight words keeps five in eight of its words in them; `kept` leaves room for pieces.
         Small items, which a single edit can leave without such a run, all pass.
         """
-        return [(k, at) for k, at in zip(items.tolist(), self.held(tokens, items)) if len(at) >= self.p.kept * self.need[k]]
-
-    def _sorted(self, tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Runs of three words of a text in order, and their places; those of the last text are kept."""
-        if self.last is None or self.last[0] is not tokens:
-            key = self._triples(tokens)
-            at = np.argsort(key, kind="stable")
-            self.last = (tokens, key[at], at)
-        return self.last[1:]
-
-    def _triples(self, tokens: np.ndarray) -> np.ndarray:
-        return (tokens[:-2] * self.size + tokens[1:-1]) * self.size + tokens[2:]
+        pairs, n = len(item), len(self.ids)
+        out: list[Meeting | None] = [None] * pairs
+        if not pairs:
+            return out
+        pair_of = np.full((int(row.max()) + 1) * n, -1)
+        pair_of[row * n + item] = np.arange(pairs)
+        text_of = np.full(len(tokens), -1)
+        for x in np.unique(row, return_index=True)[1].tolist():
+            text_of[begin[x] : end[x]] = row[x]
+        # every place of a text that has a run of an item it is paired with, and the item's places
+        some = self._threes(tokens)
+        some = some[text_of[some] >= 0]
+        keys, got = self._triples(tokens)[some], [(np.zeros(0, np.int64),) * 3]
+        for lo in range(0, len(some), WALKED):
+            hit, place = self.threes.look(keys[lo : lo + WALKED])
+            hit = some[lo + hit]
+            pair = pair_of[text_of[hit] * n + np.searchsorted(self.begin, place, "right") - 1]
+            mine = np.flatnonzero(pair >= 0)
+            got.append((pair[mine], hit[mine], place[mine]))
+        pair, hit, place = (np.concatenate(x) for x in zip(*got))
+        total = int(self.begin[-1])
+        key = np.sort(pair * total + place)
+        pair_at, at = np.divmod(key[np.diff(key, prepend=-1) > 0], total)
+        # the item's words in runs: a run has as many as are before the next one begins, three at most
+        words = np.minimum(np.diff(at, append=total), 3)
+        words[:-1][pair_at[1:] != pair_at[:-1]] = 3
+        words[-1:] = 3
+        held = np.bincount(pair_at, words, pairs)
+        passed = (held >= self.p.kept * self.need[item]) | self.small[item] if sift else np.ones(pairs, bool)
+        some = passed[pair_at]
+        pair_at, at, words = pair_at[some], at[some], words[some]
+        of_pair = np.concatenate([[0], np.cumsum(words)])[np.searchsorted(pair_at, np.arange(pairs + 1))]
+        at = np.repeat(at - self.begin[item[pair_at]] - np.cumsum(words) + words, words) + np.arange(words.sum())
+        # the parts of texts around runs; what a passage has beyond them is parted from them by edits, so a span's length to either side holds it
+        mine = (passed & ~self.wide[item])[pair]
+        pair, hit, place = pair[mine], hit[mine], place[mine]
+        order = np.lexsort((hit, pair))
+        pair, hit, place = pair[order], hit[order], place[order]
+        reach = self.p.span + 3
+        lo, hi = np.maximum(hit - reach, begin[pair]), np.minimum(hit + 3 + reach, end[pair])
+        new = np.ones(len(hit), bool)
+        new[1:] = (pair[1:] != pair[:-1]) | (lo[1:] > hi[:-1])
+        part, first = np.cumsum(new) - 1, np.flatnonzero(new)
+        lo, hi, pair_part = lo[first], hi[np.append(first, len(hit))[1:] - 1], pair[first]
+        size = hi - lo + 1
+        ends = np.cumsum(size)
+        flat = tokens[np.arange(size.sum()) + np.repeat(lo - 1 - (ends - size), size)]
+        flat[ends - size] = UNKNOWN
+        hit += (ends - size + 1 - lo)[part]
+        cut = np.searchsorted(pair_part, np.arange(pairs + 1))
+        bounds = np.concatenate([[0], ends])[cut]
+        # spans lie where scores may be above zero, from either side, if every word of the item's matches and others cost an edit
+        score = np.where(self.words.has(np.repeat(item[pair_part] * self.size, size) + flat), 1, -2)
+        score[bounds[:-1][cut[1:] > cut[:-1]]] = -2 * len(flat) - 2
+        live = _above_zero(score) & _above_zero(score[::-1])[::-1]
+        group = np.cumsum(live & ~np.concatenate([[False], live[:-1]]))[hit]
+        for _ in range(2):
+            group = _parted(_parted(group, place, hit), hit, place)
+        # ranges, and the one alignment of those that are a single run
+        order = np.argsort(group * total + place, kind="stable")
+        group, pair, hit, place = group[order], pair[order], hit[order], place[order] - self.begin[item[pair[order]]]
+        new = np.flatnonzero(np.diff(group, prepend=-1))
+        ranges: list[list[Range]] = [[] for _ in range(pairs)]
+        if len(new):
+            of, text_at = pair[new], hit - bounds[pair]
+            top, bottom = place[new], np.maximum.reduceat(place, new) + 3
+            lo, hi = np.minimum.reduceat(text_at, new), np.maximum.reduceat(text_at, new) + 3
+            n = np.diff(new, append=len(group))
+            single = (np.minimum.reduceat(place - text_at, new) == np.maximum.reduceat(place - text_at, new)) & (n == bottom - top - 2)
+            for x, i, j, *where, run in zip(*(x.tolist() for x in (of, new, new + n, top, bottom, lo, hi, single))):
+                ranges[x].append(Range(*where, place[i:j], (where[0] - where[1], where[1], where[3], where[0], where[2], 0) if run else ()))
+        for x in np.flatnonzero(passed).tolist():
+            k = int(item[x])
+            words = at[of_pair[x] : of_pair[x + 1]]
+            if self.wide[k]:
+                text = self.near(tokens[begin[x] : end[x]], k)
+                out[x] = Meeting(k, text, np.arange(len(self.tokens[k])) if self.small[k] else words, [Range(0, len(self.tokens[k]), 0, len(text), None)])
+            else:
+                out[x] = Meeting(k, flat[bounds[x] : bounds[x + 1]], words, ranges[x])
+        return out
 
     def near(self, tokens: np.ndarray, item: int) -> np.ndarray:
         """The parts of a text around runs of the item's words; what lies between is cut to one unknown word.
 
-        The runs are of three words, or of two for a small item, as in `enough`; what a passage has beyond them is
-        parted from them by edits, so a span's length to either side holds it.
+        The runs are of three words, or of two for a small item. `meetings` does the same for many other items at once.
         """
-        n = 2 if self.own[item] < self.p.windows[0][0] else 3
+        n = 2 if self.small[item] else 3
         own = self.runs[item]
         if not len(own) or len(tokens) < n:  # an item of single words
             return tokens
-        if n == 3:
-            keys, at = self._sorted(tokens)
-            lo, hi = np.searchsorted(keys, own, "left"), np.searchsorted(keys, own, "right")
-            m = hi - lo
-            hit = at[np.repeat(lo, m) + np.arange(m.sum()) - np.repeat(np.cumsum(m) - m, m)]
-        else:
-            run = tokens[:-1] * self.size + tokens[1:]
-            hit = np.flatnonzero(own[np.minimum(np.searchsorted(own, run), len(own) - 1)] == run)
+        run = tokens[:-1] * self.size + tokens[1:] if n == 2 else self._triples(tokens)
+        hit = np.flatnonzero(own[np.minimum(np.searchsorted(own, run), len(own) - 1)] == run)
         reach, end = self.p.span + n, len(tokens)
         keep = np.bincount(np.maximum(hit - reach, 0), minlength=end + 1) - np.bincount(np.minimum(hit + n + reach, end), minlength=end + 1)
         inside = np.cumsum(keep[:-1]) > 0
@@ -347,67 +475,93 @@ class Index:
         at = np.flatnonzero(inside)
         return np.insert(tokens[at], np.flatnonzero(first[at]), UNKNOWN)
 
-    def held(self, tokens: np.ndarray, items: np.ndarray) -> list[np.ndarray]:
-        """For each item the places of its own words that lie in runs of three that the text has, or all if it is small."""
-        key = self._sorted(tokens)[0]
-        key = key[np.concatenate([[True], key[1:] != key[:-1]])] if len(key) else key
-        lo = np.searchsorted(self.triples, key, "left")
-        some = np.flatnonzero(self.triples[np.minimum(lo, len(self.triples) - 1)] == key) if len(self.triples) else np.zeros(0, np.int64)
-        lo, hi = lo[some], np.searchsorted(self.triples, key[some], "right")
-        n = hi - lo
-        at = self.places[np.repeat(lo, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)]
-        at = np.unique((at[:, None] + np.arange(3)).ravel())
-        cut = np.searchsorted(at, np.concatenate([self.begin[items], self.begin[items + 1]]))
-        return [
-            np.arange(len(self.tokens[k])) if self.own[k] < self.p.windows[0][0] else at[i:j] - self.begin[k]
-            for k, i, j in zip(items.tolist(), cut[: len(items)].tolist(), cut[len(items) :].tolist())
-        ]
-
-    def shares(self, pairs: list[tuple[np.ndarray, int]], held: list[np.ndarray] | None = None, most: int = 1 << 21) -> list[float]:
-        """For (text, item) pairs, the share of the item's own words in spans aligned with the text, 0 if too small.
+    def shares(self, pairs: list[tuple[np.ndarray, int]]) -> list[float]:
+        """For (text, item) pairs, the share of the item's own words in spans aligned with the text, 0 if too small."""
+        one = np.zeros(1, np.int64)
+        return self.aligned([self.meetings(t, one, one, one + len(t), one + k, sift=False)[0] for t, k in pairs])
+
+    def aligned(self, met: list[Meeting], most: int = 1 << 21) -> list[float]:
+        """The share of each item's own words in spans aligned with the text, 0 if too small.
 
         Spans are found one after another by local alignment, each time without the item words of the spans
         before, and extended over trimmed ends, until the share asked for is reached or no span is left.
+
+        An edit costs what two matches gain, so the best alignment begins and ends with a run of three matches if there
+        is any, and else, with its ends, is shorter than any span. So spans are sought in the ranges of a meeting only,
+        from the first to the last of the runs of three there, unless spans of less than six words count. A range
+        whose item words aren't taken by a span keeps its best alignment.
         """
         p = self.p
-        texts = [self.near(t, k) for t, k in pairs]
-        held = held or [self.held(t, np.array([k]))[0] for t, k in pairs]
-        mine = [self.tokens[k].copy() for _, k in pairs]
-        covered, own = np.zeros(len(pairs)), np.maximum(1, self.own[[k for _, k in pairs]])
-        # a long text is aligned in segments that overlap by more than any span, so none is lost
-        parts = []
-        for x, t in enumerate(texts):
-            step = SEGMENT - 4 * len(mine[x])
-            if len(t) <= SEGMENT or step <= 0:
-                parts.append((x, t))
-            else:
-                parts += [(x, t[i : i + SEGMENT]) for i in range(0, len(t) - 4 * len(mine[x]), step)]
-        parts.sort(key=lambda p: len(p[1]))
-        todo = set(range(len(pairs)))
+        mine = [self.tokens[x.item].copy() for x in met]
+        covered, own = np.zeros(len(met)), np.maximum(1, self.own[[x.item for x in met]])
+        ranges: list[list[Range]] = []
+        for m, t in zip(met, mine):
+            # a long range is aligned in segments that overlap by more than any span, so none is lost
+            step = SEGMENT - 4 * len(t)
+            ranges.append([])
+            for r in m.ranges:
+                cut = not r.span and r.hi - r.lo > SEGMENT and step > 0
+                ranges[-1] += [replace(r, lo=i, hi=min(i + SEGMENT, r.hi)) for i in range(r.lo, r.hi - 4 * len(t), step)] if cut else [r]
+        todo = [x for x, r in enumerate(ranges) if r]
         while todo:
-            best: dict[int, tuple[int, int, int]] = {}
-            work, at = [p for p in parts if p[0] in todo], 0
+            work: list[tuple[int, Range]] = []
+            for x in todo:
+                least = max((-r.span[0] for r in ranges[x] if r.span), default=0)
+                work += [(x, r) for r in ranges[x] if not r.span and min(r.bottom - r.top, r.hi - r.lo) >= least]
+            work.sort(key=lambda w: w[1].kind())
+            at = 0
             while at < len(work):
-                end, tall = at + 1, len(mine[work[at][0]])
-                while end < len(work) and end - at < 256:
-                    tall = max(tall, len(mine[work[end][0]]))
-                    if (end + 1 - at) * (len(work[end][1]) + 1) * (tall + 1) > most:
+                end, tall, wide = at, 0, 0
+                while end < len(work) and end - at < 4096:
+                    r = work[end][1]
+                    more = max(tall, r.bottom - r.top), max(wide, r.hi - r.lo)
+                    if end > at and (end + 1 - at) * (more[0] + 1) * (more[1] + 1) > most:
                         break
-                    end += 1
-                some = work[at:end]
-                at = end
-                for (x, t), found in zip(some, _spans([mine[x] for x, _ in some], [t for _, t in some])):
-                    best[x] = max(best.get(x, (0, 0, 0)), (found[0], *extended(mine[x], t, *found[1:])))
-            todo = set()
-            for x, (_, i0, i1) in best.items():
-                if i1 - i0 >= self.spans[pairs[x][1]]:
+                    (tall, wide), end = more, end + 1
+                some, at = work[at:end], end
+                spans = _spans([mine[x][r.top : r.bottom] for x, r in some], [met[x].text[r.lo : r.hi] for x, r in some])
+                for (_, r), (score, i0, i1, j0, j1, edits) in zip(some, spans):
+                    r.span = (-score, i1 + r.top, j1 + r.lo, i0 + r.top, j0 + r.lo, edits)
+            left = []
+            for x in todo:
+                k = met[x].item
+                # of equal ones the first by its end, as if item and text were aligned as a whole
+                _, i1, j1, i0, j0, edits = min(r.span for r in ranges[x] if r.span)
+                i0, i1 = extended(mine[x].tolist(), met[x].text.tolist(), i0, i1, j0, j1, edits)
+                if i1 - i0 >= self.spans[k]:
                     covered[x] += int((mine[x][i0:i1] != MASKED).sum())
                     mine[x][i0:i1] = MASKED
-                    need = self.need[pairs[x][1]]
-                    left = (mine[x][held[x]] != MASKED).sum() / p.kept
-                    if covered[x] < need <= covered[x] + left:
-                        todo.add(x)
-        return np.where(covered >= self.need[[k for _, k in pairs]], covered / own, 0.0).tolist()
+                    if covered[x] < self.need[k] <= covered[x] + (mine[x][met[x].words] != MASKED).sum() / p.kept:
+                        ranges[x] = [r for r in ranges[x] if r.bottom <= i0 or r.top >= i1 or r.without(mine[x])]
+                        if ranges[x]:
+                            left.append(x)
+            todo = left
+        return np.where(covered >= self.need[[x.item for x in met]], covered / own, 0.0).tolist()
+
+
+def _above_zero(score: np.ndarray) -> np.ndarray:
+    """Where the sum of scores, which starts anew at zero whenever it would fall below, is above zero."""
+    total = np.cumsum(score)
+    return total > np.minimum.accumulate(np.concatenate([[0], total]))[:-1]
+
+
+def _parted(group: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Groups of shared runs of three, at places `a` and `b`, parted where no alignment gets over a gap in `a`.
+
+    An alignment over a gap matches at most as many words as its group has in `b`, three of them beyond the gap
+    and three before it. Words of the gap that don't match cost two each, and the sum stays above zero.
+    """
+    if not len(group):
+        return group
+    order = np.lexsort((a, group))
+    group, a, b = group[order], a[order], b[order]
+    new = np.diff(group, prepend=-1) != 0
+    first = np.flatnonzero(new)
+    extent = (np.maximum.reduceat(b, first) - np.minimum.reduceat(b, first) + 3)[np.cumsum(new) - 1]
+    gap = np.diff(a, prepend=0) - 3
+    out = np.empty_like(group)
+    out[order] = np.cumsum(new | (gap > 0) & (2 * gap >= 3 * extent - 15)) - 1
+    return out
 
 
 def local_alignments(a: list[np.ndarray], b: list[np.ndarray], edit: int = 2) -> list[tuple[int, int, int]]:
@@ -461,53 +615,62 @@ _scores: dict[type, np.ndarray] = {}
 
 def _spans(a: list[np.ndarray], b: list[np.ndarray], edit: int = 2) -> list[tuple[int, int, int, int, int, int]]:
     """(score, start and end in a[i], start and end in b[i], edits) of local_alignments."""
-    n, m = max(map(len, a)), max(map(len, b))
-    left, right = np.full((len(a), n), MASKED), np.full((len(b), m), UNKNOWN)
-    for i, (x, y) in enumerate(zip(a, b)):
-        left[i, : len(x)], right[i, : len(y)] = x, y
-    kind = np.int16 if n < 2**14 else np.int32
-    left, right = left.astype(np.int32), right.astype(np.int32)
-    size = len(a) * (n + 1) * (m + 1)
+    n, m, wide = max(map(len, a)), max(map(len, b)), len(a)
+    kind = np.int8 if min(n, m) < 120 else np.int16 if n < 2**14 else np.int32
+    # pairs lie side by side, so that each step over a row is one over all pairs
+    word = np.int16 if max(int(x.max(initial=0)) for x in (*a, *b)) < 2**15 else np.int32
+    left, right = np.full((wide, n), MASKED, word), np.full((wide, m), UNKNOWN, word)
+    unmasked = np.ones((wide, n), kind)
+    for k, (x, y) in enumerate(zip(a, b)):
+        left[k, : len(x)], right[k, : len(y)] = x, y
+        unmasked[k, : len(x)] = x > MASKED
+    left, right, unmasked = (np.ascontiguousarray(x.T) for x in (left, right, unmasked))
+    ends = (~unmasked.all(1)).tolist()
+    size = wide * (n + 1) * (m + 1)
     if kind not in _scores or len(_scores[kind]) < size:
         _scores[kind] = np.empty(size, kind)
-    score = _scores[kind][:size].reshape(len(a), n + 1, m + 1)
-    score[:, 0] = 0
-    loss = kind(-edit)
-    masked = left <= MASKED
-    ends = masked.any(0).tolist()
-    row, step = np.zeros((len(a), m + 1), kind), np.zeros((len(a), m), kind)
+    score = _scores[kind][:size].reshape(n + 1, m + 1, wide)
+    score[0] = 0
+    loss, gain = kind(-edit), kind(1 + edit)
+    row, step, same = np.zeros((m + 1, wide), kind), np.zeros((m, wide), kind), np.zeros((m, wide), bool)
     for i in range(1, n + 1):
-        up, now = score[:, i - 1], score[:, i]
-        np.add(up, loss, out=row)
-        np.maximum(row, 0, out=row)
-        np.multiply(right == left[:, i - 1, None], kind(1 + edit), out=step)
+        up, now = score[i - 1], score[i]
+        np.equal(right, left[i - 1], out=same)
+        if kind is np.int8:
+            np.multiply(same.view(np.int8), gain, out=step)
+        else:
+            np.copyto(step, same)
+            step *= gain
+        step += up[:-1]
+        np.maximum(step, up[1:], out=step)
         step += loss
-        step += up[:, :-1]
-        np.maximum(row[:, 1:], step, out=row[:, 1:])
+        np.maximum(step, 0, out=row[1:])
         if ends[i - 1]:
-            row[masked[:, i - 1]] = 0  # a masked word ends every span
+            row *= unmasked[i - 1]  # a masked word ends every span
         # up to three words of the text skipped at once; more of them part two spans
-        np.add(row[:, :-1], loss, out=step)
-        np.maximum(row[:, 1:], step, out=now[:, 1:])
-        now[:, 0] = row[:, 0]
-        np.maximum(now[:, 2:], now[:, :-2] + 2 * loss, out=row[:, 2:])
-        now[:, 2:] = row[:, 2:]
-    best = score.reshape(len(a), -1).argmax(1)
-    out = []
-    for k, at in enumerate(best.tolist()):
-        i, j = divmod(at, m + 1)
-        last, stop, mine, s = i, j, score[k], int(score[k, i, j])
-        top, edits = s, 0
+        np.add(row[:-1], loss, out=step)
+        np.maximum(row[1:], step, out=row[1:])
+        np.add(row[:-2], 2 * loss, out=step[1:])
+        now[:2] = row[:2]
+        np.maximum(row[2:], step[1:], out=now[2:])
+    # the first place, row by row, of the highest score
+    tops = score.max(1)
+    rows, high = tops.argmax(0).tolist(), tops.max(0).tolist()
+    at, out = memoryview(score), []
+    for k, (i, top) in enumerate(zip(rows, high)):
+        x, y = a[k].tolist(), b[k].tolist()
+        j = int(score[i, :, k].argmax())
+        last, stop, s, edits = i, j, top, 0
         while i and j and s > 0:
-            match = 1 if left[k, i - 1] == right[k, j - 1] else -edit
+            match = 1 if x[i - 1] == y[j - 1] else -edit
             edits += 1
-            if s == mine[i - 1, j - 1] + match:
+            if s == at[i - 1, j - 1, k] + match:
                 i, j, edits = i - 1, j - 1, edits - (match == 1)
-            elif s == mine[i - 1, j] - edit:
+            elif s == at[i - 1, j, k] - edit:
                 i -= 1
             else:
                 j -= 1
-            s = int(mine[i, j])
+            s = at[i, j, k]
         out.append((top, i, last, j, stop, edits))
     return out
 
@@ -532,22 +695,24 @@ def leaks(texts: list[str | None], ix: Index) -> list[tuple[int, int, float]]:
     for t in texts:
         begins.append(len(flat))
         if t:
-            flat += [get(w, UNKNOWN) for w in fold(t)]
+            flat.extend(map(get, fold(t), repeat(UNKNOWN)))
         ends.append(len(flat))
         flat += gap  # no window spans two texts
     tokens = np.array(flat, np.int64)
     text_of = np.full(len(tokens), -1)
     for row, (i, j) in enumerate(zip(begins, ends)):
         text_of[i:j] = row
-    found = ix.candidates(tokens, text_of, len(texts))
-    pairs, held, row_of = [], [], []
-    for row in np.flatnonzero(found.any(1)).tolist():
-        mine = tokens[begins[row] : ends[row]]
-        for item, at in ix.enough(mine, np.flatnonzero(found[row])):
-            pairs.append((mine, item))
-            held.append(at)
-            row_of.append(row)
-    return [(r, int(ix.ids[k]), s) for r, (_, k), s in zip(row_of, pairs, ix.shares(pairs, held)) if s > 0]
+    row, item = np.nonzero(ix.candidates(tokens, text_of, len(texts)))
+    begin, end = np.array(begins, np.int64)[row], np.array(ends, np.int64)[row]
+    out, words, lo = [], np.cumsum(end - begin), 0
+    while lo < len(row):
+        hi = max(lo + 1, int(np.searchsorted(words, MET + (words[lo - 1] if lo else 0), "right")))
+        at = begin[lo]
+        met = ix.meetings(tokens[at : end[hi - 1]], row[lo:hi] - row[lo], begin[lo:hi] - at, end[lo:hi] - at, item[lo:hi])
+        rows, met = [r for r, x in zip(row[lo:hi].tolist(), met) if x], [x for x in met if x]
+        out += [(r, int(ix.ids[x.item]), s) for r, x, s in zip(rows, met, ix.aligned(met)) if s > 0]
+        lo = hi
+    return out
 
 
 def find_leaks(
